@@ -5,6 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .urlfilter import Rule
+
+URL_RULES = [Rule("allow", "com", "/"), Rule("block", "example.com", "/en/"), Rule("allow", "www.example.com", "/en/"), Rule("block", "net", "/es/"), Rule("block", "net", "/fr/")]
+#: The list of URLs to block: the pages of hosts named after gambling or advertising.
+LISTED_HOSTS = r"://[^/?#]*(?:casino|bets|poker|ads-|pills)[^/?#]*"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +24,19 @@ def op1_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility(table(spark, sf_dir, "documents"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urlfilter import judge
+
+    pages = table(spark, sf_dir, "pages")
+    return judge(pages, URL_RULES, pages.where(F.col("url").rlike(LISTED_HOSTS)))
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score
 
