@@ -129,6 +129,22 @@ def compare(texts: list[str], items: Items, threshold: float) -> list[tuple]:
     return out
 
 
+def _blocks(benchmark: DataFrame, item_text: str, item_key: str, min_match: int, min_item: int):
+    """Broadcast lists of (item, text), each of about ``BLOCK_CHARS`` characters at most, as measured first."""
+    items = benchmark.select(F.col(item_key).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).where("text is not null and item is not null")
+    chars = items.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0))).first()[0]
+    blocks = max(1, -(-chars // BLOCK_CHARS))
+    for i in range(blocks):
+        block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == i)
+        got = sorted((r.item, r.text) for r in block.collect())
+        sizes = np.bincount(word_hashes([t for _, t in got])[1], minlength=len(got)) if got else []
+        yield benchmark.sparkSession.sparkContext.broadcast([x for x, n in zip(got, sizes) if n >= max(min_item, min_match)])
+
+
+def _table(shared, min_match: int) -> Items:
+    return Items([a for a, _ in shared.value], [b for _, b in shared.value], min_match)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", min_match: int = 4, threshold: float = 0.6, min_item: int = 8) -> DataFrame:
     """One row per pair of a text and a benchmark item that it covers: ``key, item_id, item_words, covered, coverage, n_tiles, longest``.
 
@@ -138,21 +154,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key:
     occur; repeated items likewise. Other columns are ignored. An empty
     table on either side gives an empty result.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_key).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).where("text is not null and item is not null")
-    chars = items.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-chars // BLOCK_CHARS))
-    rows = docs.select(F.col(key).cast("long").alias("row"), F.col(text).cast("string").alias("text"))
-    out = None
-    for i in range(blocks):
-        block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == i)
-        got = sorted((r.item, r.text) for r in block.collect())  # at most about BLOCK_CHARS, as measured
-        sizes = np.bincount(word_hashes([t for _, t in got])[1], minlength=len(got)) if got else []
-        got = [x for x, n in zip(got, sizes) if n >= max(min_item, min_match)]
-        shared = spark.sparkContext.broadcast(got)
+    rows, out = docs.select(F.col(key).cast("long").alias("row"), F.col(text).cast("string").alias("text")), None
+    for shared in _blocks(benchmark, item_text, item_key, min_match, min_item):
 
         def body(shared=shared):
-            table = Items([a for a, _ in shared.value], [b for _, b in shared.value], min_match)
+            table = _table(shared, min_match)
 
             def each(raw: list[str | None], batch: pa.RecordBatch) -> dict | None:
                 found = compare([t or "" for t in raw], table, threshold)
@@ -166,3 +172,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key:
         part = map_texts(rows, "text", body, _OUT)
         out = part if out is None else out.union(part)
     return out.select(F.col("row").alias(key), F.col("item").alias("item_id"), "item_words", "covered", "coverage", "n_tiles", "longest")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_key: str = "item_id", min_match: int = 4, threshold: float = 0.6, min_item: int = 8) -> DataFrame:
+    """The rows of ``docs`` that ``contaminated`` has none of, all columns as they are, in one pass without a shuffle."""
+    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
+    for shared in _blocks(benchmark, item_text, item_key, min_match, min_item):
+
+        def body(shared=shared):
+            table = _table(shared, min_match)
+
+            def each(raw: list[str | None], batch: pa.RecordBatch) -> dict:
+                hit = {row for row, *_ in compare([t or "" for t in raw], table, threshold)}
+                kept = batch.take(pa.array([i for i in range(len(raw)) if i not in hit], pa.int64()))
+                return {c: kept.column(c) for c in kept.schema.names}
+
+            return each
+
+        docs = map_texts(docs, text, body, schema)
+    return docs

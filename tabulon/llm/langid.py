@@ -202,8 +202,9 @@ def sample(docs: DataFrame, text: str, key: str, lang: str, folds: int, held: in
     return [r.text for r in got], [r.lang for r in got]
 
 
-def identify(docs: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", folds: int = 4, held: int = 2, per_lang: int = 400, spans: bool = False) -> DataFrame:
-    """One row per row of ``docs``: ``key, held_out, lang_pred, score`` (and ``spans`` of one language).
+def identify(docs: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", folds: int = 4, held: int = 2, per_lang: int = 400, spans: bool = False, keep: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: ``key, held_out, lang_pred, score`` (and ``spans`` of one language,
+    and the columns to ``keep`` as ``kept_<name>``).
 
     The model is fitted to at most about ``per_lang`` labelled excerpts a
     language; language, source and key never enter a prediction. ``score`` is
@@ -223,7 +224,7 @@ def identify(docs: DataFrame, text: str = "text", key: str = "doc_id", lang: str
             low, starts, s, e, doc, h, letters = split([t or "" for t in raw])
             some = letters > 0
             s, e, doc, h, letters = s[some], e[some], doc[some], h[some], letters[some]
-            out = {c: batch.column(c) for c in ("id", "held_out")}
+            out = {c: batch.column(c) for c in passed}
             if crf is None:
                 return out | {"lang_pred": [UNKNOWN] * n, "score": [0.0] * n, "spans": [[]] * n}
             post = marginals(emissions(crf, low, s, e, h), crf.transitions, doc, n)
@@ -243,7 +244,8 @@ def identify(docs: DataFrame, text: str = "text", key: str = "doc_id", lang: str
 
         return each
 
-    rows = docs.select(F.col(key).alias("id"), (F.crc32(F.col(key).cast("string").cast("binary")) % folds == held).alias("held_out"), F.col(text).cast("string").alias("text"))
-    kind = dict(rows.dtypes)["id"]
-    schema = f"id {kind}, held_out boolean, lang_pred string, score double" + ", spans array<struct<start:long,end:long,lang:string>>" * spans
+    out_fold = F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % folds == held, F.lit(False))
+    rows = docs.select(F.col(key).alias("id"), out_fold.alias("held_out"), F.col(text).cast("string").alias("text"), *[F.col(c).alias(f"kept_{c}") for c in keep])
+    passed = [c for c in rows.columns if c != "text"]
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c != "text") + ", lang_pred string, score double" + ", spans array<struct<start:long,end:long,lang:string>>" * spans
     return map_texts(rows, "text", body, schema).withColumnRenamed("id", key)

@@ -163,8 +163,8 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, t
     ``n_links`` is the number of other shingle sets with a similarity of
     ``threshold`` or more, ``n_copies`` the number of other rows with the same
     set. A null text, or one without words, is a class of its own with no
-    links. Keys must be integers that tell documents apart; a repeated row counts
-    as a copy. Other columns are ignored. An empty table gives an empty result.
+    links. Keys must be integers that tell documents apart; a repeated row, or one
+    with a null key, counts as a copy. Other columns are ignored. An empty table gives an empty result.
     """
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
 
@@ -180,7 +180,7 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, t
         return each
 
     signed_rows = written(map_texts(rows, "text", signed, "id long, node long, chars long, bands array<long>"), "signatures")
-    nodes = written(signed_rows.where("node is not null").groupBy("node").agg(F.min(F.struct("id", "chars")).alias("r"), F.count(F.lit(1)).alias("rows")).select("node", F.col("r.id").alias("rep"), F.col("r.chars").alias("chars"), "rows"), "nodes")
+    nodes = written(signed_rows.where("node is not null").groupBy("node").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "chars"))).alias("r"), F.count(F.lit(1)).alias("rows")).select("node", F.col("r.id").alias("rep"), F.col("r.chars").alias("chars"), "rows"), "nodes")
     first = signed_rows.join(nodes.select("node", F.col("rep").alias("id")), ["node", "id"], "left_semi").dropDuplicates(["node"])
     banded = first.select("node", F.posexplode("bands").alias("band", "h"))
     hubs = banded.groupBy("band", "h").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -232,3 +232,17 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, t
     least = named.groupBy("root").agg(F.min("rep").alias("class_id"))
     table = named.join(least, "root").join(degree, "node", "left").select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("rows") - 1).alias("n_copies"))
     return signed_rows.select("id", "node").join(table, "node", "left").select(F.col("id").alias(key), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(0)).cast("long").alias("n_copies"))
+
+
+def representatives(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs`` whose key is the least of their class, all columns as they are; of repeated keys one row.
+
+    Rows with a null key stay only if no other row has their words.
+    """
+    classes = written(join(docs, text, key, **options), "classes")
+    gone = classes.where(~F.col(key).eqNullSafe(F.col("class_id"))).select(key).distinct()
+    if classes.where(F.col(key).isNotNull()).count() == gone.count() + classes.where(F.col(key) == F.col("class_id")).select(key).distinct().count() and not classes.where(F.col(key).isNull()).limit(1).count():
+        return docs.join(gone, key, "left_anti").select(docs.columns)
+    kept = docs.where(F.col(key).isNotNull()).join(gone.where(F.col(key).isNotNull()), key, "left_anti").select(docs.columns).dropDuplicates([key])
+    alone = classes.where(F.col(key).isNull() & F.col("class_id").isNull()).limit(1).count()
+    return kept.union(docs.where(F.col(key).isNull()).dropDuplicates([text])) if alone else kept

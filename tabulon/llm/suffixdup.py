@@ -77,10 +77,10 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", min_words:
     ``partner_id`` is the least document met with one of them. Words count from
     0 and ends are exclusive. Null, empty and shorter texts have no
     passages. Rows with one key are one document: repeats inside it do not
-    count, nor does a repeated row. Other columns are ignored. An empty table gives an empty result.
+    count, nor does a repeated row; rows without a key are left out. Other columns are ignored. An empty table gives an empty result.
     """
     reach, head = window, min_words - window + 1
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("id is not null")
 
     def seeds(raw: list[str | None], batch: pa.RecordBatch) -> dict:
         h, doc = _words(raw)

@@ -285,5 +285,5 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
         return each
 
-    rows = docs.select(F.col(key).alias("id"), (F.crc32(F.col(key).cast("string").cast("binary")) % folds == held).alias("held_out"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(key).alias("id"), F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % folds == held, F.lit(False)).alias("held_out"), F.col(text).cast("string").alias("text"))
     return map_texts(rows, "text", body, f"id {dict(rows.dtypes)['id']}, held_out boolean, score double, predicted int").withColumnRenamed("id", key)
