@@ -64,6 +64,7 @@ def exact_decimal(text: Column) -> Column:
 
 def timestamp_of(text: Column) -> Column:
     """A timestamp of one of the three ISO forms, in UTC unless it says otherwise, else null."""
+    text = F.regexp_replace(text, r"^([0-9-]{10}T[0-9:]{5})(?=Z|[+-]|$)", "$1:00")
     has_zone = text.rlike(r"(Z|[+-][0-9]{2}:[0-9]{2}(:[0-9]{2})?)$")
     return F.when(text.rlike(DATETIME), F.when(has_zone, text).otherwise(F.concat(text, F.lit("Z"))).try_cast("timestamp")).when(text.rlike(DATE), F.concat(text, F.lit("T00:00:00Z")).try_cast("timestamp"))
 
