@@ -154,7 +154,7 @@ def _raw(v: Column, kind: Column) -> Column:
     regex = F.concat(F.lit("/"), get("$.$regularExpression.pattern"), F.lit("/"), F.coalesce(get("$.$regularExpression.options"), F.lit("")))
     ends = F.when(get("$.$minKey", "int").isNotNull(), "MinKey").when(get("$.$maxKey", "int").isNotNull(), "MaxKey")
     out = F.when(kind == "date", F.coalesce(date, plain)).when(kind == "timestamp", iso(F.timestamp_seconds(get("$.$timestamp.t", "bigint")))).when(kind == "regex", regex)
-    return out.when(kind == "binary", F.coalesce(get("$.$binary.base64"), get("$.$binary"), plain)).otherwise(F.coalesce(inner, plain, ends))
+    return out.when(kind == "binary", F.coalesce(get("$.$binary.base64"), get("$.$binary"), plain)).otherwise(F.coalesce(inner, ends, plain))
 
 
 def quoted(text: Column) -> Column:

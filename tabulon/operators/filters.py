@@ -161,7 +161,8 @@ def _condition(v: Value, cond) -> Column:
         elif op == "$elemMatch":
             array, e = (F.try_variant_get(v.col, "$", "array<variant>"), None) if v.dynamic else (v.col, v.type.elementType) if isinstance(v.type, T.ArrayType) else (None, None)
             scalar = next(iter(raw), "").startswith("$") and next(iter(raw)) not in ("$and", "$or", "$nor")
-            one = F.lit(False) if array is None else F.coalesce(F.exists(array, lambda x, e=e, r=raw, s=scalar: F.coalesce(_condition(Value(x, e), r) if s else match(Value(x, e), r), F.lit(False))), F.lit(False))
+            test = _condition if scalar else match
+            one = F.lit(False) if array is None else F.coalesce(F.exists(array, _element_test(test, e, raw)), F.lit(False))
         elif op == "$mod":
             one = _any(v, lambda x, t, w=want: F.lit(False) if _as(x, t, 1) is None else F.coalesce(F.floor(_as(x, t, 1)) % w[0] == w[1], F.lit(False)))
         elif op == "$not":
@@ -172,6 +173,10 @@ def _condition(v: Value, cond) -> Column:
     return out
 
 
+def _element_test(test, kind: T.DataType | None, query):
+    return lambda x: F.coalesce(test(Value(x, kind), query), F.lit(False))
+
+
 def match(doc: Value, query: dict) -> Column:
     """The predicate of a query object on a document."""
     out = None
