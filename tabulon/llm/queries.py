@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .urlfilter import Rule
+from .urlfilter import LOWER, TRACKING, UPPER, Rule
 
 URL_RULES = [Rule("allow", "com", "/"), Rule("block", "example.com", "/en/"), Rule("allow", "www.example.com", "/en/"), Rule("block", "net", "/es/"), Rule("block", "net", "/fr/")]
 #: The list of URLs to block: the pages of hosts named after gambling or advertising.
@@ -83,5 +83,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
 
+def _op2_sql() -> str:
+    """Hosts, paths and canonical URLs by regular expressions; the longest rule; the list as a set."""
+    rules = sorted(URL_RULES, key=lambda r: (-len(r.name), r.name))
+    fits = lambda r: f"(host = '{r.host}' or ends_with(host, '.{r.host}')) and starts_with(path, '{r.path}')"
+    rule = "case " + " ".join(f"when {fits(r)} then '{r.name}'" for r in rules) + " end"
+    verdict = "case " + " ".join(f"when rule = '{r.name}' then '{r.verdict}'" for r in rules) + " when listed then 'block' else 'allow' end"
+    return f"""
+with cut as (select page_id, coalesce(url, '') as url, case when instr(coalesce(url, ''), '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+named as (select page_id, url, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path,
+  regexp_replace(regexp_replace(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '(?:^|&){TRACKING}=[^&]*', '', 'g'), '^&+', '') as query from cut),
+whole as (select *, case when host <> '' then host || regexp_replace(path, '/+$', '') || case when query <> '' then '?' || query else '' end end as c from named),
+judged as (select page_id, host, path, {rule} as rule, coalesce(c in (select c from whole where c is not null and regexp_matches(url, '{LISTED_HOSTS}')), false) as listed from whole)
+select page_id, host, path, rule, {verdict} as verdict, listed from judged"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that it can express; the others are tested against brute force."""
+    return {"op2_url_filter": _op2_sql()}
