@@ -62,7 +62,7 @@ class Cron:
 
     def _days(self, year: int, month: int) -> list[int]:
         last = calendar.monthrange(year, month)[1]
-        week = lambda d: calendar.weekday(year, month, d) % 7 + 1 if False else (calendar.weekday(year, month, d) + 1) % 7 + 1
+        week = lambda d: (calendar.weekday(year, month, d) + 1) % 7 + 1
         if self.dow == "?":
             if "W" in self.dom:
                 at = last if self.dom.startswith("L") else min(int(self.dom.rstrip("W")), last)
