@@ -23,6 +23,8 @@ from tabulon.plans.spec import PARENT_ID, SPARK_TYPES, ColumnDef, MappingPlan, T
 
 MODES = ("UPSERT", "INSERT", "TRUNCATE_AND_LOAD")
 BUCKET = "__bucket"
+#: Runs and streams whose last batch is remembered.
+MARKS = 1000
 
 
 def last_wins(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
@@ -205,7 +207,10 @@ class VersionedStore:
         finally:
             parents.unpersist()
         if mark is not None:
-            pointer["marks"][mark] = total
+            # Only the last batch of a run or stream can be repeated: one mark each, and the newest of those.
+            own = mark.rpartition(":")[0]
+            marks = {k: v for k, v in pointer["marks"].items() if k.rpartition(":")[0] != own} | {mark: total}
+            pointer["marks"] = dict(list(marks.items())[-MARKS:])
         self._commit(pointer)
         return total
 
