@@ -13,6 +13,7 @@ texts therefore cost no more per word than short ones, and nothing is cut off.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -187,19 +188,31 @@ def train(texts: list[str], langs: list[str], epochs: int = 4, batch: int = 128,
     return crf
 
 
-def sample(docs: DataFrame, text: str, key: str, lang: str, folds: int, held: int, per_lang: int, max_langs: int = 256) -> tuple[list[str], list[str]]:
-    """At most about ``per_lang`` excerpts of each language, chosen by hash, from rows outside the held fold."""
+def sample(docs: DataFrame, text: str, key: str, lang: str, folds: int, held: int, per_lang: int, max_langs: int = 256) -> DataFrame | None:
+    """At most about ``per_lang`` excerpts (lang, text) of each language, chosen by hash, from rows outside the held fold."""
     rows = docs.select(F.col(key).cast("string").alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("id").cast("binary")) % folds != held))
     counts = rows.drop("text").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
     if not counts:
-        return [], []
+        return None
     share = F.create_map(*[F.lit(v) for r in counts for v in (r.lang, min(1.0, per_lang / r["count"]))])
     draw = F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003.0
     start = F.pmod(F.xxhash64("id", F.lit(1)), F.greatest(F.char_length("text") - EXCERPT, F.lit(0)) + 1) + 1
-    got = rows.where(draw < share[F.col("lang")]).select("lang", F.substring("text", start, F.lit(EXCERPT)).alias("text")).limit(2 * per_lang * len(counts)).collect()
-    got.sort(key=lambda r: (r.lang, r.text))
-    return [r.text for r in got], [r.lang for r in got]
+    return rows.where(draw < share[F.col("lang")]).select("lang", F.substring("text", start, F.lit(EXCERPT)).alias("text")).limit(2 * per_lang * len(counts))
+
+
+def fitted(excerpts: DataFrame | None) -> bytes | None:
+    """The pickled model of a bounded sample. One task fits it, so the driver only ever holds the result."""
+    if excerpts is None:
+        return None
+
+    def fit(batches):
+        got = sorted((a, b) for x in batches for a, b in zip(x.column("lang").to_pylist(), x.column("text").to_pylist()))
+        if got:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([t for _, t in got], [y for y, _ in got]))], pa.binary())], names=["model"])
+
+    row = excerpts.coalesce(1).mapInArrow(fit, "model binary").first()
+    return bytes(row.model) if row else None
 
 
 def identify(docs: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", folds: int = 4, held: int = 2, per_lang: int = 400, spans: bool = False, keep: list[str] | tuple[str, ...] = ()) -> DataFrame:
@@ -213,11 +226,10 @@ def identify(docs: DataFrame, text: str = "text", key: str = "doc_id", lang: str
     Repeated rows get equal answers; other columns are ignored; an empty
     table gives an empty result.
     """
-    texts, langs = sample(docs, text, key, lang, folds, held, per_lang)
-    model = docs.sparkSession.sparkContext.broadcast(train(texts, langs) if texts else None)
+    model = docs.sparkSession.sparkContext.broadcast(fitted(sample(docs, text, key, lang, folds, held, per_lang)))
 
     def body():
-        crf = model.value
+        crf = pickle.loads(model.value) if model.value else None
 
         def each(raw: list[str | None], batch: pa.RecordBatch) -> dict:
             n = len(raw)
