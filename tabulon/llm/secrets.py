@@ -80,36 +80,54 @@ def p_random(value: Column) -> Column:
 
 
 def _battery(c: Column) -> Column:
-    """p-value of the three tests together; ``c`` has core and alphabet."""
+    """p-value of the three tests together; ``c`` has core and alphabet.
+
+    Each step is a pass over an array of one element, so that what a later step
+    refers to many times is computed, and planned, once.
+    """
     n, k = F.char_length(c["core"]).cast("double"), F.char_length(c["alphabet"]).cast("double")
-    # Each element once in a scope: x are the symbols' places.
-    return F.transform(
-        F.array(F.struct(F.transform(F.split(c["core"], "(?!^)"), lambda ch: (F.instr(c["alphabet"], ch) - 1).cast("double")).alias("x"), n.alias("n"), k.alias("k"))),
-        _tests,
-    )[0]
+    places = F.transform(F.split(c["core"], "(?!^)"), lambda ch: (F.instr(c["alphabet"], ch) - 1).cast("double"))
+    one = F.array(F.struct(places.alias("x"), n.alias("n"), k.alias("k")))
+    for each in (_measured, _scored, _tailed, _combined):
+        one = F.transform(one, each)
+    return one[0]
 
 
-def _tests(s: Column) -> Column:
-    x, n, k = s["x"], s["n"], s["k"]
-    zero = F.lit(0.0)
+def _measured(s: Column) -> Column:
+    """Sums over the symbols: squared counts, symbols of the upper half, runs, products of neighbours, squares."""
+    x, k, zero = s["x"], s["k"], F.lit(0.0)
     squares = F.aggregate(F.array_distinct(x), zero, lambda t, v: t + F.pow(F.size(F.filter(x, lambda w: w == v)).cast("double"), F.lit(2.0)))
-    chi, df = squares * k / n - n, k - 1
-    z1 = (F.pow(F.greatest(chi, zero) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
-    high = F.size(F.filter(x, lambda v: v * 2 >= k)).cast("double")
-    low = n - high
     walk = F.aggregate(x, F.struct(F.lit(-1.0).alias("last"), zero.alias("runs"), zero.alias("cross"), zero.alias("power")), lambda t, v: F.struct(
         v.alias("last"),
         (t["runs"] + F.when((t["last"] < 0) | ((t["last"] * 2 >= k) != (v * 2 >= k)), 1.0).otherwise(0.0)).alias("runs"),
         (t["cross"] + F.when(t["last"] < 0, 0.0).otherwise((t["last"] - (k - 1) / 2) * (v - (k - 1) / 2))).alias("cross"),
         (t["power"] + (v - (k - 1) / 2) * (v - (k - 1) / 2)).alias("power"),
     ))
-    both = 2 * high * low
+    return F.struct(s["n"].alias("n"), k.alias("k"), squares.alias("squares"), F.size(F.filter(x, lambda v: v * 2 >= k)).cast("double").alias("high"), walk.alias("walk"))
+
+
+def _scored(s: Column) -> Column:
+    """Normal scores of the tests; a token of one half, or of one symbol in the middle, scores as far out as can be."""
+    n, k, walk = s["n"], s["k"], s["walk"]
+    chi, df = s["squares"] * k / n - n, k - 1
+    z1 = (F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
+    both = 2 * s["high"] * (n - s["high"])
     var = both * (both - n) / (n * n * (n - 1))
     z2 = F.when(var > 0, (walk["runs"] - (both / n + 1)) / F.sqrt(F.when(var > 0, var).otherwise(1.0))).otherwise(8.0)
     z3 = F.when(walk["power"] > 0, walk["cross"] / walk["power"] * F.sqrt(n)).otherwise(8.0)
-    two = lambda z: F.least(2 * _tail(F.abs(z)), F.lit(1.0))
-    half = -(F.log(_tail(z1)) + F.log(two(z2)) + F.log(two(z3)))
-    return F.exp(-half) * (1 + half + half * half / 2)
+    return F.struct(z1.alias("a"), F.abs(z2).alias("b"), F.abs(z3).alias("c"))
+
+
+def _tailed(s: Column) -> Column:
+    """The tests' p-values; runs and serial correlation see the same thing, so the lesser counts, twice over."""
+    serial = F.least(4 * _tail(F.greatest(s["b"], s["c"])), F.lit(1.0))
+    return F.struct(_tail(s["a"]).alias("p"), serial.alias("q"))
+
+
+def _combined(s: Column) -> Column:
+    """Fisher's method for two."""
+    half = -(F.log(s["p"]) + F.log(s["q"]))
+    return F.exp(-half) * (1 + half)
 
 
 def _text(spans: Column) -> Column:
@@ -121,12 +139,17 @@ def _kind(spans: Column, i: int) -> Column:
     return F.transform(spans, lambda s: F.struct(s["s"].alias("s"), F.lit(i).alias("i"), s["e"].alias("e"), F.lit(KINDS[i]).alias("kind")))
 
 
-def find(docs: DataFrame, text: str = "text", key: str = "doc_id", q: float = 0.05, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``keep`` columns and ``key, base, extra``: arrays of (s, i, e, kind) in code points.
+def find(docs: DataFrame, text: str = "text", key: str = "doc_id", q: float = 0.01) -> DataFrame:
+    """``key, base, extra``: arrays of (s, i, e, kind) in code points.
 
     ``base`` holds what the three patterns find, ``extra`` the random tokens
     that overlap none of it.
     """
+    return _found(docs, text, key, q, ()).select(F.col("id").alias(key), "base", "extra")
+
+
+def _found(docs: DataFrame, text: str, key: str, q: float, keep: tuple[str, ...]) -> DataFrame:
+    """``id, base, extra`` and the columns to keep as ``k_<name>``."""
     df = docs.select(F.col(key).alias("id"), *[F.col(c).alias(f"k_{c}") for c in keep], F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     for name, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("token", TOKEN)):
         df = _with_spans(df, pattern, name)
@@ -148,10 +171,10 @@ def find(docs: DataFrame, text: str = "text", key: str = "doc_id", q: float = 0.
     cuts = ranked.where(F.exp(-F.col("cell") * GRID) <= q * F.col("rank") / F.col("m")).groupBy("stratum").agg(F.min("cell").alias("cut")).collect()  # at most encodings times lengths: 168 rows
     cut = F.create_map(*[F.lit(v) for r in cuts for v in (r.stratum, r.cut)]) if cuts else F.create_map().cast("map<string,int>")
     extra = F.filter("token", lambda t: t["cell"] < F.coalesce(F.element_at(cut, t["stratum"]), F.lit(CELLS + 1)))
-    return found.select(F.col("id").alias(key), *[F.col(f"k_{c}").alias(c) for c in keep], "base", _kind(extra, 3).alias("extra"))
+    return found.select("id", *[f"k_{c}" for c in keep], "base", _kind(extra, 3).alias("extra"))
 
 
-def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", q: float = 0.05) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", q: float = 0.01) -> DataFrame:
     """One row per row of ``docs``: ``key, n_assign, n_access, n_hex, base_sha256, spans, n_random``.
 
     A null or empty text has no spans. Starts and ends are code points, ends
@@ -162,11 +185,10 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", q: float = 0.
     return find(docs, text, key, q).select(key, n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(_text(F.col("base")), 256).alias("base_sha256"), _text(F.concat("base", "extra")).alias("spans"), F.size("extra").cast("long").alias("n_random"))
 
 
-def redact(docs: DataFrame, text: str = "text", key: str = "doc_id", q: float = 0.05, mask: str = "[secret]") -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", key: str = "doc_id", q: float = 0.01, mask: str = "[secret]") -> DataFrame:
     """``docs`` with every span replaced by ``mask``; spans that touch or overlap become one. Nulls stay null."""
-    rest = [c for c in docs.columns if c != key]
-    found = find(docs, text, key, q, keep=tuple(rest))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.col(text).alias("rest"), F.lit("").alias("out"))
+    found = _found(docs, text, key, q, tuple(docs.columns))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.col(f"k_{text}").alias("rest"), F.lit("").alias("out"))
     step = lambda t, s: F.when(s["e"] <= t["at"], t).otherwise(F.struct(
         s["e"].alias("at"),
         F.substring(t["rest"], (s["e"] - t["at"] + 1).cast("int"), F.lit(2**31 - 1)).alias("rest"),
@@ -174,4 +196,4 @@ def redact(docs: DataFrame, text: str = "text", key: str = "doc_id", q: float =
     ))
     spans = F.array_sort(F.concat("base", "extra"))
     masked = F.aggregate(spans, start, step, lambda t: F.concat(t["out"], t["rest"]))
-    return found.withColumn(text, F.when(F.size(spans) > 0, masked).otherwise(F.col(text))).select(*docs.columns)
+    return found.select(*[(F.when(F.size(spans) > 0, masked).otherwise(F.col(f"k_{c}")) if c == text else F.col(f"k_{c}")).alias(c) for c in docs.columns])
