@@ -30,6 +30,8 @@ from .store import written
 BANDS, ROWS, STEP = 32, 6, 32
 #: Nodes, and characters, of one block.
 BLOCK, BLOCK_CHARS = 512, 8_000_000
+#: Integer keys that are broadcast at most (about 24 MB as a hash table).
+BROADCAST_KEYS = 1_000_000
 _A = np.random.default_rng(20).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _B = np.random.default_rng(21).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
@@ -241,8 +243,10 @@ def representatives(docs: DataFrame, text: str = "text", key: str = "doc_id", **
     """
     classes = written(join(docs, text, key, **options), "classes")
     gone = classes.where(~F.col(key).eqNullSafe(F.col("class_id"))).select(key).distinct()
-    if classes.where(F.col(key).isNotNull()).count() == gone.count() + classes.where(F.col(key) == F.col("class_id")).select(key).distinct().count() and not classes.where(F.col(key).isNull()).limit(1).count():
-        return docs.join(gone, key, "left_anti").select(docs.columns)
+    n_gone = gone.count()
+    if classes.where(F.col(key).isNotNull()).count() == n_gone + classes.where(F.col(key) == F.col("class_id")).select(key).distinct().count() and not classes.where(F.col(key).isNull()).limit(1).count():
+        # Keys that go are few next to the texts: up to a counted bound they are sent to the texts instead of shuffling those.
+        return docs.join(F.broadcast(gone) if n_gone <= BROADCAST_KEYS else gone, key, "left_anti").select(docs.columns)
     kept = docs.where(F.col(key).isNotNull()).join(gone.where(F.col(key).isNotNull()), key, "left_anti").select(docs.columns).dropDuplicates([key])
     alone = classes.where(F.col(key).isNull() & F.col("class_id").isNull()).limit(1).count()
     return kept.union(docs.where(F.col(key).isNull()).dropDuplicates([text])) if alone else kept
