@@ -136,7 +136,9 @@ def train(texts: list[str], langs: list[str], epochs: int = 4, batch: int = 128,
     crf = Crf(np.zeros((SLOTS, len(labels)), np.float32), np.eye(len(labels)) * 2.0, words[n >= 3], labels)
     if len(labels) < 2 or not len(s):
         return crf
-    slot, count = features(low, s, e, h, crf.lexicon)
+    # Features of each distinct word once; ``own_word`` leads from a word to them.
+    _, at, own_word = np.unique(h, return_index=True, return_inverse=True)
+    slot, count = features(low, s[at], e[at], h[at], crf.lexicon)
     first = np.cumsum(count) - count
     rng, n_labels = np.random.default_rng(seed), len(labels)
     grad_w, grad_t = np.full((SLOTS, n_labels), 1e-6, np.float32), np.full((n_labels, n_labels), 1e-6)
@@ -154,10 +156,11 @@ def train(texts: list[str], langs: list[str], epochs: int = 4, batch: int = 128,
         for at in range(0, len(chains), batch):
             idx = chains[at : at + batch]
             flat = idx.ravel()
-            take = K.ragged(first[flat], count[flat])
-            own = np.repeat(np.arange(len(flat)), count[flat])
-            scale = 1 / np.sqrt(count[flat])
-            emit = np.add.reduceat(crf.weights[slot[take]], np.cumsum(count[flat]) - count[flat], axis=0) * scale[:, None]
+            n = count[own_word[flat]]
+            take = K.ragged(first[own_word[flat]], n)
+            own = np.repeat(np.arange(len(flat)), n)
+            scale = 1 / np.sqrt(n)
+            emit = np.add.reduceat(crf.weights[slot[take]], np.cumsum(n) - n, axis=0) * scale[:, None]
             b, t = idx.shape
             y = y_of[doc[flat]].reshape(b, t)
             psi = np.exp(emit - emit.max(1, keepdims=True)).reshape(b, t, n_labels).astype(float)
