@@ -24,8 +24,8 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"
-#: Tokens to be tested; each is tried from its beginning only.
-TOKEN = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{20,}={0,2}"
+#: Tokens to be tested; each is tried from its beginning only. One may follow '=', which is padding only where the token ends.
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?:={1,2}(?![A-Za-z0-9+/=_-]))?"
 #: Alphabets by name, narrowest first: pattern of their tokens and symbols in order.
 ALPHABETS = (
     ("hex", "^[0-9a-f]+$", "0123456789abcdef"),

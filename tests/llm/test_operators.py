@@ -154,6 +154,20 @@ def test_secrets(spark):
     assert secrets.scan(df.limit(0)).count() == 0
 
 
+def test_secrets_after_equals_signs(spark):
+    rng = random.Random(14)
+    rand = lambda n: "a1" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n - 2))
+    forms = ["client_key={}", "see https://x.org/a?sig={}&b=1", "auth={}", "AWS_SECRET_ACCESS_KEY={}", "x=={} y", "sig={}== y", "sig={}=== y"]
+    values = [rand(40) for _ in forms]
+    rows = [(i, f.format(v)) for i, (f, v) in enumerate(zip(forms, values))]
+    spans = {r.doc_id: r.spans for r in secrets.scan(frame(spark, rows)).collect()}
+    for i, t in rows:
+        a = t.index(values[i])
+        assert f"random:{a}:{a + 40 + 2 * (i == 5)}" in spans[i].split(",")
+    clean = {r.doc_id: r.text for r in secrets.redact(frame(spark, rows)).collect()}
+    assert not any(values[i] in clean[i] for i, _ in rows) and clean[1] == "see https://x.org/a?sig=[secret]&b=1"
+
+
 def test_p_values_of_random_strings_are_uniform(spark):
     rng = random.Random(5)
     rows = [("".join(rng.choice("0123456789abcdef") for _ in range(rng.randint(30, 60))),) for _ in range(600)]

@@ -27,3 +27,12 @@ def test_pipeline(spark, tmp_path):
     assert "[secret]" in masked.text and "hunter" not in masked.text and masked.n_chars == len(masked.text)
     again = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in again.collect()} == seen["packing"] and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_pipeline_masks_values_after_equals_signs(spark):
+    rng = random.Random(12)
+    values = ["a1" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(38)) for _ in range(2)]
+    rows = [(1, prose(rng, 30) + " client_key=" + values[0] + " " + prose(rng, 10)), (2, prose(rng, 30) + " https://x.org/a?sig=" + values[1] + "&b=1")]
+    docs = frame(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    for r in corpus_pipeline.secrets(spark, docs, "").collect():
+        assert values[r.doc_id - 1] not in r.text and "=[secret]" in r.text and r.n_chars == len(r.text)
