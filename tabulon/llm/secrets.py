@@ -8,6 +8,11 @@ rejections are controlled (Benjamini-Hochberg) inside strata of encoding and
 length, since short tokens give weak evidence: at most ``q`` of the dismissed
 tokens of a stratum are expected to be random. The others are secrets.
 
+Every token is tested, of letters or digits alone as well. Of a token that
+touches a pattern's span, what the spans leave is tested piece by piece; a piece of
+less than ``LEAST`` characters gives too little evidence to be dismissed, so it is a
+secret if it has a letter or digit.
+
 The ranks that the control needs come from counts of p-values on a fixed grid, so
 nothing is sorted globally. All expressions run in the JVM.
 """
@@ -26,13 +31,19 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"
 #: Tokens to be tested; each is tried from its beginning only. One may follow '=', which is padding only where the token ends.
 TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?:={1,2}(?![A-Za-z0-9+/=_-]))?"
+#: The least characters of a token.
+LEAST = 20
 #: Alphabets by name, narrowest first: pattern of their tokens and symbols in order.
 ALPHABETS = (
+    ("digits", "^[0-9]+$", "0123456789"),
     ("hex", "^[0-9a-f]+$", "0123456789abcdef"),
     ("HEX", "^[0-9A-F]+$", "0123456789ABCDEF"),
+    ("lower", "^[a-z]+$", "abcdefghijklmnopqrstuvwxyz"),
+    ("upper", "^[A-Z]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
     ("base32", "^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
     ("lower36", "^[a-z0-9]+$", "0123456789abcdefghijklmnopqrstuvwxyz"),
     ("upper36", "^[A-Z0-9]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+    ("letters", "^[A-Za-z]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ("base62", "^[A-Za-z0-9]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ("base64", "^[A-Za-z0-9+/]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64url", "^[A-Za-z0-9_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
@@ -135,6 +146,15 @@ def _text(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["s"].cast("string"), s["e"].cast("string"))), ",")
 
 
+def _pieces(t: Column) -> Column:
+    """What the spans of ``base`` leave of a token, as (s, e, v); a token that none touches is one piece."""
+    touching = F.array_sort(F.filter("base", lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
+    piece = lambda s, e: F.struct(s.alias("s"), e.alias("e"), F.substring(t["v"], (s - t["s"] + 1).cast("int"), (e - s).cast("int")).alias("v"))
+    start = F.struct(t["s"].alias("at"), F.array().cast("array<struct<s:long,e:long,v:string>>").alias("out"))
+    step = lambda a, b: F.struct(F.greatest(a["at"], b["e"]).alias("at"), F.when(b["s"] > a["at"], F.array_append(a["out"], piece(a["at"], b["s"]))).otherwise(a["out"]).alias("out"))
+    return F.aggregate(touching, start, step, lambda a: F.when(a["at"] < t["e"], F.array_append(a["out"], piece(a["at"], t["e"]))).otherwise(a["out"]))
+
+
 def _kind(spans: Column, i: int) -> Column:
     return F.transform(spans, lambda s: F.struct(s["s"].alias("s"), F.lit(i).alias("i"), s["e"].alias("e"), F.lit(KINDS[i]).alias("kind")))
 
@@ -142,8 +162,8 @@ def _kind(spans: Column, i: int) -> Column:
 def find(docs: DataFrame, text: str = "text", key: str = "doc_id", q: float = 0.01) -> DataFrame:
     """``key, base, extra``: arrays of (s, i, e, kind) in code points.
 
-    ``base`` holds what the three patterns find, ``extra`` the random tokens
-    that overlap none of it.
+    ``base`` holds what the three patterns find, ``extra`` the random tokens,
+    without what ``base`` covers of them.
     """
     return _found(docs, text, key, q, ()).select(F.col("id").alias(key), "base", "extra")
 
@@ -159,18 +179,20 @@ def _found(docs: DataFrame, text: str, key: str, q: float, keep: tuple[str, ...]
         _kind(F.col("hex"), 2),
     )
     df = df.withColumn("base", base)
-    token = F.filter("token", lambda t: t["v"].rlike("[0-9]") & t["v"].rlike("[A-Za-z]") & ~F.exists("base", lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
-    df = df.withColumn("token", token).withColumn("token", F.transform("token", lambda t: F.struct(t["s"].alias("s"), t["e"].alias("e"), p_random(t["v"]).alias("c"))))
-    tested = F.transform("token", lambda t: F.struct(t["s"].alias("s"), t["e"].alias("e"), F.concat(t["c"]["encoding"], F.lit("|"), F.least(F.floor(F.log2(t["e"] - t["s"]) * 2), F.lit(20)).cast("string")).alias("stratum"), F.least(F.floor(-F.log(F.greatest(_battery(t["c"]), F.lit(1e-30))) / GRID), F.lit(CELLS)).cast("int").alias("cell")))
+    pieces = F.filter(F.flatten(F.transform("token", _pieces)), lambda t: (t["e"] - t["s"] >= LEAST) | t["v"].rlike("[A-Za-z0-9]"))
+    df = df.withColumn("token", pieces).withColumn("token", F.transform("token", lambda t: F.struct(t["s"].alias("s"), t["e"].alias("e"), p_random(t["v"]).alias("c"))))
+    # A piece too short to be tested has no cell, so nothing dismisses it.
+    cell = lambda t: F.when(F.char_length(t["c"]["core"]) >= LEAST, F.least(F.floor(-F.log(F.greatest(_battery(t["c"]), F.lit(1e-30))) / GRID), F.lit(CELLS)).cast("int"))
+    tested = F.transform("token", lambda t: F.struct(t["s"].alias("s"), t["e"].alias("e"), F.concat(t["c"]["encoding"], F.lit("|"), F.least(F.floor(F.log2(t["e"] - t["s"]) * 2), F.lit(20)).cast("string")).alias("stratum"), cell(t).alias("cell")))
     found = written(df.select("id", *[f"k_{c}" for c in keep], "base", tested.alias("token")), "secrets")
     # Benjamini-Hochberg on the grid: a cell is rejected if its largest p is at most q times the share of tokens in it and beyond.
-    cells = found.select(F.explode("token").alias("t")).groupBy(F.col("t.stratum").alias("stratum"), F.col("t.cell").alias("cell")).count()
+    cells = found.select(F.explode("token").alias("t")).where("t.cell IS NOT NULL").groupBy(F.col("t.stratum").alias("stratum"), F.col("t.cell").alias("cell")).count()
     w = Window.partitionBy("stratum")
     beyond = F.sum("count").over(w.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, 0))
     ranked = cells.select("stratum", "cell", beyond.alias("rank"), F.sum("count").over(w).alias("m"))
-    cuts = ranked.where(F.exp(-F.col("cell") * GRID) <= q * F.col("rank") / F.col("m")).groupBy("stratum").agg(F.min("cell").alias("cut")).collect()  # at most encodings times lengths: 168 rows
+    cuts = ranked.where(F.exp(-F.col("cell") * GRID) <= q * F.col("rank") / F.col("m")).groupBy("stratum").agg(F.min("cell").alias("cut")).collect()  # at most encodings times lengths: 252 rows
     cut = F.create_map(*[F.lit(v) for r in cuts for v in (r.stratum, r.cut)]) if cuts else F.create_map().cast("map<string,int>")
-    extra = F.filter("token", lambda t: t["cell"] < F.coalesce(F.element_at(cut, t["stratum"]), F.lit(CELLS + 1)))
+    extra = F.filter("token", lambda t: t["cell"].isNull() | (t["cell"] < F.coalesce(F.element_at(cut, t["stratum"]), F.lit(CELLS + 1))))
     return found.select("id", *[f"k_{c}" for c in keep], "base", _kind(extra, 3).alias("extra"))
 
 

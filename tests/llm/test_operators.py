@@ -168,6 +168,24 @@ def test_secrets_after_equals_signs(spark):
     assert not any(values[i] in clean[i] for i, _ in rows) and clean[1] == "see https://x.org/a?sig=[secret]&b=1"
 
 
+def test_secrets_tests_every_token(spark):
+    rng = random.Random(15)
+    rand = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    lower, upper, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    kinds = [lower, upper, lower + upper, digit]
+    rows = [(100 * k + i, "key " + rand(a, 22) + " end") for k, a in enumerate(kinds) for i in range(30)]
+    hexes, tails = [rand("0123456789abcdef", 24) for _ in range(3)], [rand(upper + digit, 30), rand(lower + upper, 12), rand(lower + upper, 5)]
+    rows += [(1000 + i, f"xoxb-{h}-{t}.") for i, (h, t) in enumerate(zip(hexes, tails))] + [(1003, f"{tails[0]}-{hexes[0]}_{hexes[1]}/{tails[1]}"), (1004, "-" * 40 + " " + "=" * 30 + " some-long-slug-that-has-only-words-and-dashes-in-it")]
+    got = {r.doc_id: r for r in secrets.scan(frame(spark, rows)).collect()}
+    for k in range(len(kinds)):
+        assert sum(got[100 * k + i].n_random for i in range(30)) >= 28
+    assert all(got[1000 + i].n_random >= 1 and got[1000 + i].n_hex == 1 for i in range(3)) and got[1004].spans == ""
+    assert got[1003].spans == f"random:0:31,hex:31:55,hex:56:80,random:80:{81 + len(tails[1])}"
+    clean = {r.doc_id: r.text for r in secrets.redact(frame(spark, rows)).collect()}
+    assert [clean[1000 + i] for i in range(3)] == ["[secret]."] * 3 and clean[1003] == "[secret]_[secret]"
+    assert clean[1004] == rows[-1][1]
+
+
 def test_p_values_of_random_strings_are_uniform(spark):
     rng = random.Random(5)
     rows = [("".join(rng.choice("0123456789abcdef") for _ in range(rng.randint(30, 60))),) for _ in range(600)]
