@@ -26,6 +26,8 @@ SECOND_PERSON = "you your yours yourself u ya du dich dir dein deine euch ihr tu
 #: Signs that stand for letters in disguised spellings.
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l"}
 NEAR = 6
+#: A lexicon entry is in so many toxic texts at least, and in this share of them.
+LEAST = (3, 0.003)
 FEATURES = ("log_words", "sum_density", "top_density", "mid_density", "low_density", "distinct", "max_weight", "stem_density", "near_you", "you_density", "disguised_hits", "disguised", "caps", "all_caps", "punct", "bang", "digits", "mean_len", "repeat_chars", "burst")
 
 
@@ -202,13 +204,13 @@ def _evidence(raw: list[str | None], batch: pa.RecordBatch) -> dict:
     order = np.lexsort((doc, kind, h))
     h, kind, doc = h[order], kind[order], doc[order]
     if not len(h):
-        return {"term": [], "kind": [], "pos": [], "neg": [], "hits": [], "bad": []}
+        return {"term": [], "kind": [], "pos": [], "neg": []}
     fresh = np.concatenate(([True], (h[1:] != h[:-1]) | (kind[1:] != kind[:-1])))
     new_doc = np.concatenate(([True], doc[1:] != doc[:-1])) | fresh
     g = np.cumsum(fresh) - 1
     y = toxic[doc]
     first = np.flatnonzero(fresh)
-    return {"term": h[first].view(np.int64), "kind": kind[first], "pos": np.bincount(g, new_doc & (y == 1)), "neg": np.bincount(g, new_doc & (y == 0)), "hits": np.bincount(g), "bad": np.bincount(g, y == 1)}
+    return {"term": h[first].view(np.int64), "kind": kind[first], "pos": np.bincount(g, new_doc & (y == 1)), "neg": np.bincount(g, new_doc & (y == 0))}
 
 
 def _draw(labels: DataFrame, key: str, label: str, folds: int, held: int, per_class: int) -> tuple[DataFrame, dict[int, float]]:
@@ -226,10 +228,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str, key: str, label: str, fol
         return None
     # Bounded by 3 * per_class keys, so it may be broadcast; the texts are read once, unshuffled.
     rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(drawn), "id").withColumn("part", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(2)))
-    half = map_texts(rows.where("part = 0").select("y", "text"), "text", lambda: _evidence, "term long, kind long, pos double, neg double, hits double, bad double")
-    sums = half.groupBy("term", "kind").agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "hits", "bad")]).where("pos >= 6")
-    # Smoothed log-odds of a text that has the term, and of its occurrences; both must speak for toxic.
-    size = {0: max(1.0, per_class / 2), 1: max(1.0, per_class / 2)}
+    half = map_texts(rows.where("part = 0").select("y", "text"), "text", lambda: _evidence, "term long, kind long, pos double, neg double")
+    size = {0: 1, 1: 1} | {r.y: r["count"] for r in rows.where("part = 0").groupBy("y").count().collect()}
+    sums = half.groupBy("term", "kind").agg(*[F.sum(c).alias(c) for c in ("pos", "neg")]).where(F.col("pos") >= max(LEAST[0], LEAST[1] * size[1]))
+    # Smoothed log-odds of a text that has the term, by the rows read of each class: above 0.7, twice as frequent in toxic texts.
     odds = F.log(((F.col("pos") + 0.5) / size[1]) / ((F.col("neg") + 0.5) / size[0]))
     top = sums.withColumn("w", odds).where("w > 0.7").orderBy(F.desc("w"), F.desc("pos"), "term").limit(lexicon).collect()
 

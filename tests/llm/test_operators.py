@@ -225,6 +225,20 @@ def test_toxicity(spark):
     assert len(none) == 910 and not any(r.score for r in none) and toxicity.score(df.limit(0), lab).count() == 0
 
 
+def test_lexicon_weighs_by_the_rows_of_each_class(spark):
+    rng = random.Random(16)
+    of = lambda w: kernel.words_of(*kernel.decode([w]), kernel.word_table())[3][0]
+    for toxic, often in ((60, 0.06), (540, 0.02)):
+        rows, labels = [], []
+        for i in range(600):
+            bad = i < toxic
+            labels.append((i, int(bad)))
+            rows.append((i, "always " + prose(rng, 40) + (" zwitterling" if rng.random() < (0.5 if bad else often) else "")))
+        m = toxicity.fit(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"), "text", "doc_id", "toxic", 5, 0, 4000, 1500)
+        assert of("zwitterling") in m.words and of("always") not in m.words
+        assert 1.2 < m.word_weight[m.words == of("zwitterling")][0] < 4.5
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>a{}</style></head><body><div id="cookie-notice">We use cookies &amp; stuff</div><header><h2>Site</h2></header><nav><a href=/>Home</a></nav>
 <article><header><h1>The Title</h1></header><p>First para with &eacute;t&eacute; and <a href=x>a link</a> in the text.<p>Second par<b>ag</b>raph&nbsp;here.<div class="ad">Buy now</div><ul><li>One item<li>Two items</ul><form><label>Mail</label><button>Send</button></form>
 <script>var x="<p>no</p>";</script><!-- no --><p>Last\n  one.</p><section class="comments"><p>Nice article, thanks for all of this!</p></section></article><aside>Related <a>story</a></aside><footer>&copy; me</footer></body></html>"""
