@@ -6,12 +6,16 @@ of lengths, which has at most ``capacity`` rows however large the corpus is:
 * the configuration linear program (how often to use each multiset of lengths)
   is solved by multiplicative weights: every round prices the lengths, and a
   knapsack by dynamic programming finds the configuration of most value;
-* the averaged solution is rounded down to whole configurations, and what is
-  left over is packed by best fit, largest first.
+* the solution is rounded down to whole configurations, which are filled with
+  real pieces; what is left is a smaller program, solved and rounded again,
+  until rounding places nothing more;
+* the few large pieces left, and all pieces too small to be worth a price, go by best fit
+  into the room that the configurations have left, then into sequences of their own.
 
 The plan is a list of runs: "the pieces of length L with ranks a to b go, n a
-sequence, to the sequences from s on". Ranks are dealt per length and salt, so
-one length that holds a third of all pieces is spread over many tasks.
+sequence, to the sequences from s on". Ranks are dealt per length and salt, the
+number of salts following the length's pieces, so one length that holds a third of
+all pieces is spread over many tasks, repeated rows too.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,14 +33,19 @@ from .batches import map_texts
 from .store import written
 from .tokens import WordBpe, vocabulary
 
-#: Pieces that one task ranks, on average.
-PER_SALT = 20_000
+#: Pieces of one length and salt, on average.
+PER_SALT = 2_000
+#: Pieces of at most this share of the capacity only fill up what the configurations leave.
+SMALL = 1 / 32
+#: Share of the volume at which no further program is solved for what rounding left.
+LEFT = 0.02
 
 
 def _cut(path: str, capacity: int, end_id: int, with_ids: bool):
-    bpe = WordBpe(path)
+    bpe, task, made = WordBpe(path), TaskContext.get().partitionId(), 0
 
     def each(raw: list[str | None], batch: pa.RecordBatch) -> dict:
+        nonlocal made
         ids, bounds = bpe.encode([t or "" for t in raw])
         keys, rows = batch.column("id"), {k: [] for k in ("row", "piece", "start", "length", "crc", "ids")}
         for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
@@ -44,7 +54,9 @@ def _cut(path: str, capacity: int, end_id: int, with_ids: bool):
                 part = own[at : at + capacity]
                 for k, v in zip(rows, (i, p, at, len(part), zlib.crc32(part.tobytes()), part if with_ids else None)):
                     rows[k].append(v)
-        return {"id": keys.take(pa.array(rows["row"], pa.int64())), "piece": rows["piece"], "start": rows["start"], "length": rows["length"], "ids_crc32": rows["crc"], "ids": rows["ids"]}
+        n = len(rows["row"])
+        number, made = np.arange(made, made + n) + (task << 40), made + n
+        return {"id": keys.take(pa.array(rows["row"], pa.int64())), "number": number, "piece": rows["piece"], "start": rows["start"], "length": rows["length"], "ids_crc32": rows["crc"], "ids": rows["ids"]}
 
     return each
 
@@ -56,14 +68,14 @@ def _price(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float,
     step = max(1, int(sizes.min()))
     for lo in range(step, capacity + 1, step):
         w = np.arange(lo, min(lo + step, capacity + 1))
-        fit = sizes[:, None] <= w[None, :]
-        gain = np.where(fit, values[:, None] + best[np.maximum(w[None, :] - sizes[:, None], 0)], -1.0)
+        room = w[None, :] - sizes[:, None]
+        gain = np.where(room >= 0, values[:, None] + best[np.maximum(room, 0)], -1.0)
         pick = gain.argmax(0)
         top = gain[pick, np.arange(len(w))]
-        best[w], last[w] = top, pick
-        for x in w:
-            if best[x] < best[x - 1]:
-                best[x], last[x] = best[x - 1], -2
+        # A weight may also be left unfilled: then it is worth what a lesser one is.
+        run = np.maximum.accumulate(np.concatenate(([best[lo - 1]], top)))
+        best[w], last[w] = run[1:], np.where(run[1:] > top, -2, pick)
+        last[w[top <= 0]] = -2
     out: dict[int, int] = {}
     x = capacity
     while x > 0 and last[x] != -1:
@@ -75,74 +87,123 @@ def _price(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float,
     return float(best[capacity]), sorted(out.items())
 
 
-def _grid(lengths: np.ndarray, classes: int) -> np.ndarray:
-    """Length classes for pricing: the lengths themselves, or about ``classes`` quantised ones (rounded up)."""
-    if len(lengths) <= classes:
-        return lengths
-    return np.unique(lengths[np.linspace(0, len(lengths) - 1, classes).round().astype(int)])
+def _classes(hist: dict[int, int], most: int) -> list[list[int]]:
+    """Lengths in ascending classes: the lengths themselves, or about ``most`` classes of like volume."""
+    lengths = sorted(hist)
+    if len(lengths) <= most:
+        return [[x] for x in lengths]
+    volume = np.cumsum([x * hist[x] for x in lengths])
+    slot = np.minimum((volume - 1) * most // volume[-1], most - 1)
+    return [[lengths[i] for i in np.flatnonzero(slot == c)] for c in np.unique(slot)]
 
 
-def configurations(hist: dict[int, int], capacity: int, rounds: int = 150, epsilon: float = 0.1, classes: int = 192) -> list[tuple[list[tuple[int, int]], int]]:
-    """Whole configurations that cover part of ``hist``: ([(length, number)], times used).
+def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int, epsilon: float = 0.4) -> dict[tuple[tuple[int, int], ...], float]:
+    """The configuration program's solution: configuration ((index of size, number), ...) to how often it is used.
 
-    Multiplicative weights: a length's weight falls with the share of its
-    demand that the chosen configurations have met, so under-served lengths
-    grow dear. The mean of the rounds, scaled to the corpus, is a nearly optimal
-    fractional cover; its floor is used, never for more pieces than there are.
+    Multiplicative weights: a size's weight begins with its volume and falls with the share of its demand that the
+    chosen configurations have met, so under-served sizes grow dear. The sum of
+    the rounds, scaled to the demand's volume, is a nearly optimal fractional cover.
     """
-    left = np.array(sorted(hist), np.int64)
-    if not len(left):
-        return []
-    grid = _grid(left, classes)
-    slot = np.searchsorted(grid, left)
-    demand = np.bincount(slot, [hist[int(x)] for x in left], len(grid))
-    weight, used = np.ones(len(grid)), {}
+    boost, used = np.ones(len(sizes)), {}
     for _ in range(rounds):
-        price = weight / demand
-        _, config = _price(price / price.sum(), grid, capacity)
-        config = [(i, min(n, int(demand[i]))) for i, n in config]
-        met = np.zeros(len(grid))
-        for i, n in config:
-            met[i] = n / demand[i]
-        used[tuple(config)] = used.get(tuple(config), 0) + 1 / met.max()
-        weight *= np.exp(-epsilon * met / met.max())
-        weight /= weight.max()
-    cover = np.zeros(len(grid))
-    for config, x in used.items():
-        for i, n in config:
-            cover[i] += n * x
-    scale = float(grid @ demand) / float(grid @ cover)
-    rest, plan = {int(x): hist[int(x)] for x in left}, []
-    by_class = [[int(x) for x in left[slot == i]][::-1] for i in range(len(grid))]
-    for _ in range(8):  # what rounding down leaves is offered again, scaled to what is left
-        took = False
-        for config, x in sorted(used.items(), key=lambda c: -c[1]):
-            times = int(x * scale)
-            while times > 0:
-                items: dict[int, int] = {}
-                for i, n in config:
-                    for length in by_class[i]:
-                        take = min(n, rest[length] - items.get(length, 0))
-                        if take > 0:
-                            items[length] = items.get(length, 0) + take
-                            n -= take
-                        if not n:
-                            break
-                    if n:
-                        items = {}
-                        break
-                many = min([times, *(rest[a] // b for a, b in items.items())]) if items else 0
-                if many <= 0:
+        left, free, config = capacity, np.ones(len(sizes), bool), np.zeros(len(sizes), np.int64)
+        while True:  # no configuration takes more of a size than there is; its room is offered to the others
+            open_ = np.flatnonzero(free & (sizes <= left))
+            if not len(open_):
+                break
+            _, picked = _price((sizes * boost)[open_], sizes[open_], left)
+            if not picked:
+                break
+            over = False
+            for j, n in picked:
+                i = open_[j]
+                take = min(n, int(demand[i]) - int(config[i]))
+                config[i] += take
+                left -= take * int(sizes[i])
+                if take < n:
+                    free[i], over = False, True
+            if not over:
+                break
+        met = config / demand
+        key = tuple((int(i), int(config[i])) for i in np.flatnonzero(config))
+        used[key] = used.get(key, 0.0) + 1 / met.max()
+        boost *= np.exp(-epsilon * met / met.max())
+        boost /= boost.max()
+    cover = sum(x * sum(int(sizes[i]) * n for i, n in c) for c, x in used.items())
+    scale = float(sizes @ demand) / cover
+    return {c: x * scale for c, x in used.items()}
+
+
+def _fill(config: tuple[tuple[int, int], ...], times: int, by_class: list[list[int]], rest: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
+    """Up to ``times`` sequences of a configuration, with the largest real pieces of its classes; taken out of ``rest``."""
+    out = []
+    while times > 0:
+        items: dict[int, int] = {}
+        for i, n in reversed(config):
+            for length in reversed(by_class[i]):
+                take = min(n, rest[length] - items.get(length, 0))
+                if take > 0:
+                    items[length] = items.get(length, 0) + take
+                    n -= take
+                if not n:
                     break
-                for a, b in items.items():
-                    rest[a] -= many * b
-                plan.append((sorted(items.items(), reverse=True), many))
-                times -= many
-                took = True
+            if n:
+                return out
+        room = capacity - sum(a * b for a, b in items.items())
+        small = min(items)
+        if room and sum(items.values()) > 1:  # classes round up: a larger last piece may fit as well
+            lengths = by_class.flat
+            for j in range(bisect.bisect_right(lengths, small + room) - 1, -1, -1):
+                if lengths[j] <= small:
+                    break
+                if rest[lengths[j]] > items.get(lengths[j], 0):
+                    items[small] -= 1
+                    if not items[small]:
+                        del items[small]
+                    items[lengths[j]] = items.get(lengths[j], 0) + 1
+                    break
+        many = min(times, *(rest[a] // b for a, b in items.items()))
+        for a, b in items.items():
+            rest[a] -= many * b
+        out.append((sorted(items.items(), reverse=True), many))
+        times -= many
+    return out
+
+
+class _ByClass(list):
+    """Classes of lengths, and all lengths in order."""
+
+    def __init__(self, classes: list[list[int]]):
+        super().__init__(classes)
+        self.flat = [x for c in classes for x in c]
+
+
+def configurations(hist: dict[int, int], capacity: int, rounds: int = 4, classes: int = 128) -> tuple[list[tuple[list[tuple[int, int]], int]], dict[int, int]]:
+    """Whole configurations ([(length, number)], times used) for the pieces of ``hist``, and the pieces they leave.
+
+    ``rounds`` are those of the solver for each class of lengths.
+    """
+    rest, plan = dict(hist), []
+    enough = max(LEFT * sum(x * n for x, n in hist.items()), 8 * capacity)
+    while True:
+        alive = {x: n for x, n in rest.items() if n}
+        # What a program over all of it cannot improve by much goes by best fit; the first program is always solved.
+        if not alive or plan and sum(x * n for x, n in alive.items()) <= enough:
+            break
+        by_class = _ByClass(_classes(alive, classes))
+        sizes = np.array([c[-1] for c in by_class], np.int64)
+        demand = np.array([sum(alive[x] for x in c) for c in by_class], np.int64)
+        solution = solve(sizes, demand, capacity, 30 + rounds * len(sizes))
+        took, half = 0, int(sizes @ demand) // capacity // 2
+        for config, x in sorted(solution.items(), key=lambda c: (-c[1], c[0])):
+            # Rounded down; until half of the program is placed, the fractions of nearly full ones are rounded up.
+            full = sum(int(sizes[i]) * n for i, n in config) >= 0.98 * capacity
+            filled = _fill(config, int(x) if x >= 1 or not full or took > half else 1, by_class, rest, capacity)
+            plan += filled
+            took += sum(n for _, n in filled)
         if not took:
             break
-        scale /= 2
-    return plan
+    return plan, {x: n for x, n in rest.items() if n}
 
 
 def best_fit(rest: dict[int, int], capacity: int, bins: list[list] | None = None) -> list[tuple[list[tuple[int, int]], int]]:
@@ -185,22 +246,13 @@ def best_fit(rest: dict[int, int], capacity: int, bins: list[list] | None = None
 
 
 def plan(hist: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
-    """All sequences as ([(length, number)], times), covering ``hist`` exactly.
-
-    Best fit alone is tried as well, and the plan with fewer sequences wins.
-    """
+    """All sequences as ([(length, number)], times), covering ``hist`` exactly."""
+    least = max(1, int(capacity * SMALL))
     whole = {capacity: hist[capacity]} if capacity in hist else {}
-    open_ = {k: v for k, v in hist.items() if k != capacity}
-    first = configurations(open_, capacity)
-    rest = dict(open_)
-    for items, times in first:
-        for length, n in items:
-            rest[length] -= n * times
-    # Configurations that aren't full stay open to the rest.
+    first, rest = configurations({k: v for k, v in hist.items() if least < k < capacity}, capacity)
+    rest |= {k: v for k, v in hist.items() if k <= least and k != capacity}
     opened = [[capacity - sum(a * b for a, b in items), tuple(items), times] for items, times in first]
-    rounded, plain = best_fit({k: v for k, v in rest.items() if v}, capacity, opened), best_fit(open_, capacity)
-    out = min((rounded, plain), key=lambda p: sum(n for _, n in p))
-    return [([(capacity, 1)], n) for n in whole.values()] + out
+    return [([(capacity, 1)], n) for n in whole.values()] + best_fit(rest, capacity, opened)
 
 
 def _runs(configs: list[tuple[list[tuple[int, int]], int]]) -> dict[int, np.ndarray]:
@@ -224,23 +276,23 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", capacity: int
 
     A text's ids are followed by ``end_id``; only longer ones are cut, into
     pieces of ``capacity``. A null or empty text is one piece of ``end_id``.
-    Repeated rows are packed as often as they occur. Other columns are
-    ignored. An empty table gives an empty result.
+    Repeated rows are packed as often as they occur; ties of length fall by place in the
+    input. Keys are cast to long and may be null. Other columns are ignored. An empty table gives an empty result.
     """
     path = path or vocabulary("word_bpe_49k.json")
-    schema = "id long, piece int, start long, length long, ids_crc32 long, ids array<long>"
+    schema = "id long, number long, piece int, start long, length long, ids_crc32 long, ids array<long>"
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     pieces = map_texts(rows, "text", lambda: _cut(path, capacity, end_id, with_ids), schema)
     pieces = written(pieces if with_ids else pieces.drop("ids"), "pieces")
-    total = pieces.count()
-    salts = max(1, min(1 << 16, total // PER_SALT))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(salts)))
-    counts = salted.groupBy("length", "salt").count()
-    hist = {r.length: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most ``capacity`` rows
+    hist = {r.length: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
     runs = _runs(plan(hist, capacity))
+    # ``number`` tells repeated rows apart, so they don't share a salt.
+    salts = docs.sparkSession.createDataFrame([(k, max(1, v // PER_SALT)) for k, v in hist.items()], "length long, salts long")
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("number"), F.col("salts"))).drop("salts")
+    counts = salted.groupBy("length", "salt").count()
     before = F.sum("count").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
     first = counts.select("length", "salt", F.coalesce(before, F.lit(0)).alias("before"))
-    ranked = salted.withColumn("r", F.row_number().over(Window.partitionBy("length", "salt").orderBy("id", "piece")) - 1).join(first, ["length", "salt"]).withColumn("rank", F.col("r") + F.col("before")).drop("salt", "r", "before")
+    ranked = salted.withColumn("r", F.row_number().over(Window.partitionBy("length", "salt").orderBy("number")) - 1).join(first, ["length", "salt"]).withColumn("rank", F.col("r") + F.col("before")).drop("salt", "r", "before", "number")
     # The plan has a row for each length of each kind of sequence: bounded by capacity, not by the corpus.
     shared = docs.sparkSession.sparkContext.broadcast(runs)
 
