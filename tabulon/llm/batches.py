@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,6 +11,15 @@ from pyspark.sql import DataFrame
 from . import kernel as K
 
 
+def trim() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # no such function outside glibc
+        pass
+
+
 def map_texts(df: DataFrame, column: str, body: Callable[[], Callable[[list[str | None], pa.RecordBatch], dict | None]], schema: str) -> DataFrame:
     """``df`` through a function of (texts, batch) that returns columns.
 
@@ -25,6 +35,8 @@ def map_texts(df: DataFrame, column: str, body: Callable[[], Callable[[list[str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = body()
         for batch in batches:
+            # Workers serve many tasks and stages: what the last one freed goes back to the system first.
+            trim()
             texts = batch.column(column).to_pylist()
             for lo, hi in K.chunks([t or "" for t in texts]):
                 got = each(texts[lo:hi], batch.slice(lo, hi - lo))

@@ -14,7 +14,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Large star ties every larger neighbour to a node's least neighbour, small
     star every smaller one; the forest flattens in about log(diameter) rounds.
     Minima are combined before shuffling, and the joins that follow
-    are plain equi-joins, whose hot keys Spark splits at run time.
+    are plain equi-joins, whose hot keys Spark splits at run time. A forest that
+    still changes after ``rounds`` raises, as its roots would be wrong.
     """
     e = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     before = None
@@ -29,4 +30,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"Components are not settled after {rounds} rounds")
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select("b", "b").distinct())

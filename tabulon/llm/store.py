@@ -1,7 +1,8 @@
 """Written intermediate tables, which cut lineage and outlive a lost executor.
 
-Tables go below the folder that the session names in ``spark.checkpoint.dir``.
-Only where the session names none (tests, a laptop) a temporary folder is used.
+Tables go below the folder that the session names in ``spark.checkpoint.dir``
+and are deleted when the session's JVM ends. Only a local session that names none (tests, a laptop) gets
+a temporary folder; on a cluster the executors would not share it, so there the name is required.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("Set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK:
         _FALLBACK[app] = "file://" + tempfile.mkdtemp(prefix="tabulon-")
@@ -34,4 +37,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tabulon/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)

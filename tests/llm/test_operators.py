@@ -482,6 +482,39 @@ def test_ngram_join(spark, monkeypatch, block):
         assert ngramjoin.join(df.limit(0)).count() == 0
 
 
+def test_rows_without_a_key_or_with_a_shared_one(spark):
+    rng = random.Random(21)
+    a, b, c, d = (prose(rng, 100) for _ in range(4))
+    near = lambda t: " ".join(t.split()[:-1] + ["changed"])
+    rows = [(None, a), (None, near(a)), (1, b), (None, near(b)), (None, c), (None, None), (None, ""), (7, d), (7, c + " and more"), (7, d), (8, near(d)), (9, None), (9, None), (10, "")]
+    df = frame(spark, rows)
+    got = sorted(((r.doc_id, r.class_id, r.n_links, r.n_copies) for r in ngramjoin.join(df).collect()), key=str)
+    want = [(None, None, 1, 0)] * 2 + [(1, 1, 1, 0), (None, 1, 1, 0), (None, 7, 1, 0), (None, None, 0, 0), (None, None, 0, 0), (7, 7, 1, 0), (7, 7, 1, 1), (7, 7, 1, 1), (8, 7, 1, 0), (9, 9, 0, 0), (9, 9, 0, 0), (10, 10, 0, 0)]
+    assert got == sorted(want, key=str)
+    kept = ngramjoin.representatives(df)
+    assert kept.columns == df.columns
+    ids = Counter(r.doc_id for r in kept.collect())
+    assert ids == {None: 3, 1: 1, 7: 1, 9: 1, 10: 1}  # one of the first class, and both rows without words
+    assert ngramjoin.representatives(df.limit(0)).count() == 0
+
+
+def test_blocks_without_a_partner_count_links_once(spark, monkeypatch):
+    monkeypatch.setattr(ngramjoin, "BLOCK_CHARS", 300)  # more blocks than texts
+    rng = random.Random(22)
+    a = prose(rng, 300)
+    rows = [(i, " ".join(a.split()[:-1] + [f"end{i}"])) for i in range(3)]
+    assert [(r.class_id, r.n_links) for r in ngramjoin.join(frame(spark, rows)).collect()] == [(0, 2)] * 3
+
+
+def test_components_raise_when_not_settled(spark):
+    from tabulon.llm.components import components
+
+    chain = spark.range(64).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert {r.root for r in components(chain).collect()} == {0}
+    with pytest.raises(RuntimeError, match="not settled"):
+        components(chain, rounds=2)
+
+
 def test_posterior_pruning_is_exact_for_its_tolerance():
     for n in (32, 96, 192):
         assert 0 < ngramjoin.least_matches(n, 0.8, 1e-6) < 0.8 * n
