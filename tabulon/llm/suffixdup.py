@@ -8,9 +8,14 @@ and to the left. Every passage of ``min_words`` words or more contains a retaine
 suffix from which its beginning, its end, or the next such suffix is in reach, so
 the matches of a document's suffixes, merged, are its repeated passages.
 
+Suffixes are ordered by 64-bit hashes of their first words, then by the hashes of the words around them: what is
+equal stands together, which is all that comparing neighbours needs. In the words around, 31 bits tell words apart.
+
 Sorting is by range over (suffix, document, place): a passage that a third of all
 documents share is a long run of equal suffixes, spread over as many tasks as
-it has rows for, and no task or driver holds a whole run.
+it has rows for, and no task or driver holds a whole run. Where a task's rows end,
+the neighbour is unknown; such rows, and those between whose neighbours a third document may stand, have
+the windows around them looked up by hash.
 """
 
 from __future__ import annotations
@@ -19,7 +24,6 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,6 +73,15 @@ def _sorted_tasks(df: DataFrame, *order: str) -> DataFrame:
     return df.repartitionByRange(n, *order).sortWithinPartitions(*order)
 
 
+def _one_text_a_key(rows: DataFrame) -> DataFrame:
+    """``rows`` with the least text of each id; texts only move where ids repeat."""
+    again = written(rows.groupBy("id").count().where("count > 1").select("id"), "repeated-keys")
+    if not again.limit(1).count():
+        return rows
+    least = rows.join(again, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    return written(rows.join(again, "id", "left_anti").union(least), "texts")
+
+
 def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", min_words: int = 50, window: int = 24, texts: bool = False) -> DataFrame:
     """One row per repeated passage: ``key, start_word, end_word, n_words, partner_id`` (and ``start, end, passage``).
 
@@ -76,11 +89,11 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", min_words:
     for word (case and punctuation aside), merged where they overlap;
     ``partner_id`` is the least document met with one of them. Words count from
     0 and ends are exclusive. Null, empty and shorter texts have no
-    passages. Rows with one key are one document: repeats inside it do not
-    count, nor does a repeated row; rows without a key are left out. Other columns are ignored. An empty table gives an empty result.
+    passages. Rows with one key are one document, whose text is the least of theirs: repeats inside it do not
+    count, nor does a repeated row. Keys are cast to long; rows without a key are left out. Other columns are ignored. An empty table gives an empty result.
     """
     reach, head = window, min_words - window + 1
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("id is not null")
+    rows = _one_text_a_key(docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("id is not null"))
 
     def seeds(raw: list[str | None], batch: pa.RecordBatch) -> dict:
         h, doc = _words(raw)
@@ -129,10 +142,9 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", min_words:
         return {"k": k, "id": batch.column("id").take(pa.array(d)), "pos": pos, "l": as_binary(l), "r": as_binary(r)}
 
     own = paired.distinct().groupBy("id").agg(F.collect_list(F.struct("k", "pos")).alias("at"))
-    # Rows with one key are one document: the first by text stands for it, as its places are the ones looked up.
     found = written(map_texts(rows.join(own, "id"), "text", lambda: contexts, "k long, id long, pos long, l binary, r binary"), "contexts")
 
-    out = "id long, pos long, k long, best int, a0 long, b0 long, p0 long, a1 long, b1 long, p1 long, edge int, l binary, r binary"
+    out = "id long, pos long, k long, best int, a0 long, b0 long, p0 long, a1 long, b1 long, p1 long"
 
     def extend(by_left: bool):
         def run(batches):
@@ -155,13 +167,8 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", min_words:
                     full = np.zeros(n, np.int64)
                     full[x] = value
                     found.append(pa.array(full, mask=rest))
-            best[[0, -1]] = reach  # a bound: their neighbours are in other tasks
-            edge, some = np.zeros(n, np.int32), np.ones(n, bool)
-            task = TaskContext.get().partitionId()
-            edge[0], edge[-1] = 2 * task, 2 * task + 1
-            some[[0, -1]] = n == 1, False
-            context = [pa.array([x.tobytes() if i in (0, n - 1) else None for i, x in enumerate(c)], pa.binary()) for c in (l, r)]
-            yield from pa.Table.from_arrays([pa.array(ids), pa.array(pos), pa.array(k), pa.array(best.astype(np.int32)), *found, pa.array(edge, mask=some), *context], names=[x.split()[0] for x in out.split(", ")]).to_batches(10_000)
+            best[[0, -1]] = reach  # a bound: their neighbours are in other tasks, so their windows are looked up
+            yield from pa.Table.from_arrays([pa.array(ids), pa.array(pos), pa.array(k), pa.array(best.astype(np.int32)), *found], names=[x.split()[0] for x in out.split(", ")]).to_batches(10_000)
 
         return run
 
@@ -171,15 +178,6 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", min_words:
         got = written(_sorted_tasks(found, *order).mapInArrow(extend(by_left), out), "matches")
         ends[by_left] = got
         matched += [got.where(f"a{i} is not null").select("id", F.col(f"a{i}").alias("a"), F.col(f"b{i}").alias("b"), F.col(f"p{i}").alias("partner")) for i in (0, 1)]
-        edges = got.where("edge is not null").orderBy("edge").collect()  # at most two rows a task
-        seam = []
-        for p, q in zip(edges, edges[1:]):
-            if p.edge // 2 != q.edge // 2 and p.k == q.k and p.id != q.id:
-                a, b = (int(_common(np.frombuffer(p[c], "<u4")[None], np.frombuffer(q[c], "<u4")[None])[0]) for c in ("l", "r"))
-                if a + head + b >= min_words:
-                    seam += [(x.id, x.pos - a, x.pos + head + b, y.id) for x, y in ((p, q), (q, p))]
-        if seam:
-            matched.append(docs.sparkSession.createDataFrame(seam, "id long, a long, b long, partner long"))
     # A third document can stand between two that match by a bit of both sides. Where the best right and the
     # best left match together reach further than any neighbour, the windows in reach are looked up themselves.
     need = min_words - head

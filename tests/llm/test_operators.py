@@ -441,6 +441,14 @@ def test_repeats(spark, monkeypatch, per_task):
         assert suffixdup.repeats(df.limit(0)).count() == 0
 
 
+def test_repeats_of_rows_that_share_a_key(spark):
+    rng = random.Random(23)
+    passage = prose(rng, 60)
+    rows = [(1, "b " + passage), (1, "a " + prose(rng, 70) + " " + passage), (1, "b " + passage), (2, passage), (2, passage), (3, None), (3, passage + " x"), (None, passage)]
+    got = sorted((r.doc_id, r.start_word, r.end_word, r.partner_id, r.passage) for r in suffixdup.repeats(frame(spark, rows), texts=True).collect())
+    assert got == [(1, 71, 131, 2, passage), (2, 0, 60, 1, passage), (3, 0, 60, 1, passage)]
+
+
 def brute_links(rows):
     sets = {}
     for i, t, *_ in rows:
