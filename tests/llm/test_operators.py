@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from math import comb
@@ -374,9 +375,9 @@ def brute_tiling(item, text, k):
 def test_decontamination(spark):
     rng = random.Random(8)
     rows = corpus()[-10:] + [(i, prose(rng, 80)) for i in range(600, 640)]
-    items = [(i, prose(rng, rng.randint(20, 40))) for i in range(15)] + [(15, rows[12][1][:120]), (16, "too short"), (17, None), (18, "")]
+    items = [(i, prose(rng, rng.randint(20, 40))) for i in range(15)] + [(15, rows[12][1][:120]), (16, "too short"), (17, None), (18, ""), (19, "§ --"), (None, prose(rng, 25))]
     halves = [items[3][1].split()[:10], items[3][1].split()[10:]]
-    rows += [(700, prose(rng, 30) + " " + items[2][1].upper() + " " + prose(rng, 9)), (701, " ".join(halves[1] + ["mid"] + halves[0])), (702, " ".join(items[4][1].split()[:8])), (703, items[5][1]), (703, items[5][1])]
+    rows += [(700, prose(rng, 30) + " " + items[2][1].upper() + " " + prose(rng, 9)), (701, " ".join(halves[1] + ["mid"] + halves[0])), (702, " ".join(items[4][1].split()[:8])), (703, items[5][1]), (703, items[5][1]), (704, items[-1][1]), (705, "this is TOO, short a text"), (706, "too very short")]
     df, bench = frame(spark, rows), spark.createDataFrame([(i, t, "z") for i, t in items], "item_id long, text string, row string")
     got = Counter((r.doc_id, r.item_id, r.covered) for r in decontaminate.contaminated(df, bench).collect())
     want = Counter()
@@ -384,12 +385,14 @@ def test_decontamination(spark):
         if d == 205:
             continue
         for i, x in items:
-            w = words_of(x)
+            w, own = words_of(x), words_of(t)
+            if 0 < len(w) < 8 and any(own[a : a + len(w)] == w for a in range(len(own))):
+                want[d, i, len(w)] += 1
             if len(w) >= 8:
                 c = brute_tiling(w, words_of(t), 4)
                 if c >= 0.6 * len(w):
                     want[d, i, c] += 1
-    assert Counter({k: v for k, v in got.items() if k[0] != 205}) == want and {(700, 2), (701, 3), (703, 5)} <= {k[:2] for k in got} and not any(k[0] == 702 for k in got)
+    assert Counter({k: v for k, v in got.items() if k[0] != 205}) == want and {(700, 2), (701, 3), (703, 5), (704, None), (705, 16)} <= {k[:2] for k in got} and not any(k[0] == 702 for k in got)
     kept = decontaminate.clean(df, bench)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {d for d, *_ in rows} - {k[0] for k in got}
     assert decontaminate.contaminated(df.limit(0), bench).count() == 0 and decontaminate.contaminated(df, bench.limit(0)).count() == 0
@@ -400,6 +403,18 @@ def test_decontamination(spark):
         decontaminate.BLOCK_CHARS = saved
 
 
+def test_common_windows_stay_bounded():
+    items = decontaminate.Items([1, 2], ["a " * 2000, "a b " * 30], 4)
+    start = time.monotonic()
+    got = decontaminate.compare(["a " * 60_000, "b a " * 40, ""], items, 0.6)
+    assert [(t, i, n, c) for t, i, n, c, *_ in got] == [(0, 0, 2000, 2000), (1, 1, 60, 60)] and time.monotonic() - start < 60
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        a, b = (rng.integers(0, 3, n).astype(np.uint64) for n in (12, 25))
+        want = sorted((n, x, y) for x in range(12) for y in range(25) if not (x and y and a[x - 1] == b[y - 1]) for n in [next((z for z in range(12) if x + z == 12 or y + z == 25 or a[x + z] != b[y + z]), 12)] if n >= 4)
+        assert sorted(decontaminate._runs(a, b, 4)) == want
+
+
 def brute_spans(rows, n):
     ws = {}
     for i, t, *_ in rows:
