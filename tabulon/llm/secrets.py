@@ -51,6 +51,8 @@ ALPHABETS = (
 #: Width of the grid of -ln p, and its last cell.
 GRID, CELLS = 0.25, 120
 CHUNK = 256
+#: Characters of the blocks that a text is cut into for masking.
+BLOCK = 4096
 
 
 def _before(lengths: Column) -> Column:
@@ -207,15 +209,56 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", q: float = 0.
     return find(docs, text, key, q).select(key, n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(_text(F.col("base")), 256).alias("base_sha256"), _text(F.concat("base", "extra")).alias("spans"), F.size("extra").cast("long").alias("n_random"))
 
 
+def _merged(spans: Column) -> Column:
+    """Sorted spans with those that touch or overlap as one: array of (s, e). Chunked, so that long arrays stay cheap."""
+    n = F.size(spans)
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(n, F.lit(1)) - 1) / CHUNK).cast("int")), lambda c: F.slice(spans, c * CHUNK + 1, CHUNK))
+    kind = "array<struct<s:long,e:long>>"
+    one = lambda t: F.struct(t["s"].alias("s"), t["e"].alias("e"))
+
+    def step(t: Column, s: Column) -> Column:
+        joins = s["s"] <= t["e"]
+        return F.struct(F.when(joins, t["s"]).otherwise(s["s"]).alias("s"), F.when(joins, F.greatest(t["e"], s["e"])).otherwise(s["e"]).alias("e"), F.when(joins | (t["e"] < 0), t["out"]).otherwise(F.array_append(t["out"], one(t))).alias("out"))
+
+    # A chunk starts with the span that the one before left open.
+    empty = F.array().cast(kind)
+    begin = F.struct(F.lit(-1).cast("long").alias("s"), F.lit(-1).cast("long").alias("e"), F.array().cast(f"array<{kind}>").alias("done"))
+
+    def chunk(t: Column, p: Column) -> Column:
+        got = F.aggregate(p, F.struct(t["s"].alias("s"), t["e"].alias("e"), empty.alias("out")), step)
+        # Looked at once: the aggregate's result is the only element of an array.
+        return F.transform(F.array(got), lambda g: F.struct(g["s"].alias("s"), g["e"].alias("e"), F.array_append(t["done"], g["out"]).alias("done")))[0]
+
+    return F.aggregate(parts, begin, chunk, lambda t: F.concat(F.flatten(t["done"]), F.when(t["e"] >= 0, F.array(one(t))).otherwise(empty)))
+
+
+def _without(text: Column, merged: Column, mask: str) -> Column:
+    """``text`` with merged spans replaced: cut into blocks first, so that no piece is found by walking the whole text."""
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+    def build(one: Column) -> Column:
+        held, spans, n = one["b"], one["m"], one["n"]
+        starts = F.concat(F.array(F.lit(0).cast("long")), F.transform(spans, lambda s: s["e"]))
+        ends = F.concat(F.transform(spans, lambda s: s["s"]), F.array(n))
+
+        def piece(z: Column) -> Column:
+            a, b = z["a"], z["z"]
+            i, j = F.floor(a / BLOCK).cast("int"), F.floor((b - 1) / BLOCK).cast("int")
+            near = F.array_join(F.slice(held, i + 1, F.greatest(j - i + 1, F.lit(1))), "")
+            return F.when(b > a, F.substring(near, (a - i * BLOCK + 1).cast("int"), (b - a).cast("int"))).otherwise("")
+
+        return F.array_join(F.transform(F.arrays_zip(starts.alias("a"), ends.alias("z")), piece), mask)
+
+    return F.transform(F.array(F.struct(blocks.alias("b"), merged.alias("m"), F.char_length(text).cast("long").alias("n"))), build)[0]
+
+
 def redact(docs: DataFrame, text: str = "text", key: str = "doc_id", q: float = 0.01, mask: str = "[secret]") -> DataFrame:
-    """``docs`` with every span replaced by ``mask``; spans that touch or overlap become one. Nulls stay null."""
+    """``docs`` with every span replaced by ``mask``; spans that touch or overlap become one. Nulls stay null.
+
+    The work grows with the text and the number of its spans, not with their product. Repeated rows are masked
+    alike; other columns stay as they are, an empty table gives an empty result.
+    """
     found = _found(docs, text, key, q, tuple(docs.columns))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.col(f"k_{text}").alias("rest"), F.lit("").alias("out"))
-    step = lambda t, s: F.when(s["e"] <= t["at"], t).otherwise(F.struct(
-        s["e"].alias("at"),
-        F.substring(t["rest"], (s["e"] - t["at"] + 1).cast("int"), F.lit(2**31 - 1)).alias("rest"),
-        F.when(s["s"] > t["at"], F.concat(t["out"], F.substring(t["rest"], F.lit(1), (s["s"] - t["at"]).cast("int")), F.lit(mask))).when(t["out"] == "", F.lit(mask)).otherwise(t["out"]).alias("out"),
-    ))
     spans = F.array_sort(F.concat("base", "extra"))
-    masked = F.aggregate(spans, start, step, lambda t: F.concat(t["out"], t["rest"]))
+    masked = _without(F.col(f"k_{text}"), _merged(spans), mask)
     return found.select(*[(F.when(F.size(spans) > 0, masked).otherwise(F.col(f"k_{c}")) if c == text else F.col(f"k_{c}")).alias(c) for c in docs.columns])

@@ -187,6 +187,27 @@ def test_secrets_tests_every_token(spark):
     assert clean[1004] == rows[-1][1]
 
 
+def test_masking_of_many_spans(spark):
+    rng = random.Random(24)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    def text(n):
+        return "".join(rng.choice(["é", "😀 ", "word ", "\n", "token=", "x" * 5000]) * rng.randint(0, 3) + rng.choice(["", " ", hexes(30), "AKIA" + "Q" * 20, "password: hunter22"]) for _ in range(n))
+
+    rows = [(i, text(rng.randint(1, 40))) for i in range(60)] + [(100, " ".join(hexes(32) for _ in range(3000))), (101, "a" * 4096 + hexes(24)), (102, hexes(40) + "z" * 5000)]
+    texts, df = dict(rows), frame(spark, rows)
+    spans = {r.doc_id: r.spans for r in secrets.scan(df).collect()}
+    for r in secrets.redact(df).collect():
+        t, at, want = texts[r.doc_id], 0, ""
+        for a, b in sorted((int(a), int(b)) for _, a, b in (s.split(":") for s in spans[r.doc_id].split(",") if s)):
+            if a > at or not want and a == 0:
+                want += t[at:a] + "[secret]"
+            at = max(at, b)
+        assert r.text == want + t[at:]
+    start = time.monotonic()
+    long = [(1, ("word " * 40 + hexes(32) + " ") * 8000)]
+    assert secrets.redact(frame(spark, long)).first().text.count("[secret]") == 8000 and time.monotonic() - start < 60
+
+
 def test_p_values_of_random_strings_are_uniform(spark):
     rng = random.Random(5)
     rows = [("".join(rng.choice("0123456789abcdef") for _ in range(rng.randint(30, 60))),) for _ in range(600)]
