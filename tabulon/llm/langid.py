@@ -192,10 +192,15 @@ def train(texts: list[str], langs: list[str], epochs: int = 4, batch: int = 128,
 
 
 def sample(docs: DataFrame, text: str, key: str, lang: str, folds: int, held: int, per_lang: int, max_langs: int = 256) -> DataFrame | None:
-    """At most about ``per_lang`` excerpts (lang, text) of each language, chosen by hash, from rows outside the held fold."""
+    """At most about ``per_lang`` excerpts (lang, text) of each language, chosen by hash, from rows outside the held fold.
+
+    More than ``max_langs`` different labels are refused: they would be no languages, and none may be left unlearned.
+    """
     rows = docs.select(F.col(key).cast("string").alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("id").cast("binary")) % folds != held))
-    counts = rows.drop("text").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    counts = rows.drop("text").groupBy("lang").count().limit(max_langs + 1).collect()
+    if len(counts) > max_langs:
+        raise ValueError(f"Column {lang!r} has more than {max_langs} different labels")
     if not counts:
         return None
     share = F.create_map(*[F.lit(v) for r in counts for v in (r.lang, min(1.0, per_lang / r["count"]))])
@@ -223,7 +228,7 @@ def identify(docs: DataFrame, text: str = "text", key: str = "doc_id", lang: str
     and the columns to ``keep`` as ``kept_<name>``).
 
     The model is fitted to at most about ``per_lang`` labelled excerpts a
-    language; language, source and key never enter a prediction. ``score`` is
+    language, of every label there is; more than 256 different labels raise. Language, source and key never enter a prediction. ``score`` is
     the share of letters that the predicted language has. A null text, or one
     without a letter, is ``und`` with score 0, as is every text where nothing is labelled.
     Repeated rows get equal answers; other columns are ignored; an empty

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from .urlfilter import LOWER, TRACKING, UPPER, Rule
 
 URL_RULES = [Rule("allow", "com", "/"), Rule("block", "example.com", "/en/"), Rule("allow", "www.example.com", "/en/"), Rule("block", "net", "/es/"), Rule("block", "net", "/fr/")]
-#: The list of URLs to block: the pages of hosts named after gambling or advertising.
-LISTED_HOSTS = r"://[^/?#]*(?:casino|bets|poker|ads-|pills)[^/?#]*"
+#: The list of URLs to block: pages seen over plain http on hosts named after gambling or advertising. It is kept in a
+#: form that no page has (upper-case scheme and host, a closing slash, a tracking parameter), so only canonical forms meet.
+LISTED_HOSTS = r"^http://[^/?#]*(?:casino|bets|poker|ads-|pills)[^/?#]*"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +26,11 @@ def op1_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .urlfilter import judge
+    from .urlfilter import judge, respelled
 
     pages = table(spark, sf_dir, "pages")
-    return judge(pages, URL_RULES, pages.where(F.col("url").rlike(LISTED_HOSTS)))
+    listed = pages.where(F.col("url").rlike(LISTED_HOSTS)).select(respelled(F.col("url")).alias("url"))
+    return judge(pages, URL_RULES, listed)
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

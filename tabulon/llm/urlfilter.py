@@ -61,6 +61,12 @@ def canonical(url: Column) -> Column:
     return F.when(host != "", F.concat(host, F.regexp_replace(path_of(url), "/+$", ""), F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
 
 
+def respelled(url: Column) -> Column:
+    """Another spelling of a URL with the same canonical form: upper-case scheme and host, closing slash, tracking parameter first."""
+    query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
+    return F.concat(F.lit("HTTP://"), F.upper(host_of(url)), path_of(url), F.lit("/?utm_source=list"), F.when(query != "", F.concat(F.lit("&"), query)).otherwise(""))
+
+
 def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
     """The longest rule that fits, else null; of equal ones the first by name."""
     out = F.lit(None).cast("string")

@@ -81,6 +81,33 @@ def test_fertility(spark):
     assert fertility.fertility(df.limit(0)).count() == 0
 
 
+def test_bands_equal_brute_force(spark):
+    rng = random.Random(25)
+    other = ["straße", "größer", "über", "mögen", "fenster"]
+    rows = [(i, prose(rng, rng.randint(60, 400)), "en") for i in range(60)] + [(100 + i, prose(rng, rng.randint(60, 200), other), "de") for i in range(12)] + [(200 + i, "中文 " * 3 + " ".join(w + "☃☃" for w in prose(rng, 90).split()), None) for i in range(3)]
+    rows = [(i, t, lang) for i, t, lang in rows]
+    got = {r.doc_id: r for r in fertility.fertility(frame(spark, rows)).collect()}
+    sound = {i: r for i, r in got.items() if not r.base_failed}
+    groups, lang = defaultdict(list), {i: x for i, _, x in rows}
+    names = lambda i, r: ["g:" + lang[i] if lang[i] else None, "s:" + r.script, "*"]
+    size = lambda r: min(int(np.log2(max(r.n_words, 1)) / 2), 8)
+    for i, r in sound.items():
+        for g in names(i, r):
+            if g:
+                groups[g, size(r)].append(r)
+    low = lambda v, p: sorted(v)[max(0, int(np.ceil(p * len(v))) - 1)]
+    for i, r in sound.items():
+        own = next(groups[g, size(r)] for g in names(i, r) if g and (len(groups[g, size(r)]) >= fertility.LEAST_GROUP or g == "*"))
+        wrong = []
+        for m in fertility.MEASURES:
+            a, b = (low([x[m] for x in own], p) for p in (0.25, 0.75))
+            spread = 3.0 * max(b - a, 0.01)
+            if r[m] > b + spread or m != "byte_share" and r[m] < a - spread:
+                wrong.append(m)
+        assert (r.kept, r.rejected_by) == (not wrong, ",".join(wrong) or None), i
+    assert not any(got[200 + i].kept for i in range(3))
+
+
 RULES = [urlfilter.Rule("allow", "com"), urlfilter.Rule("block", "example.com", "/en/"), urlfilter.Rule("allow", "www.example.com", "/en/"), urlfilter.Rule("block", "net", "/es/")]
 
 
@@ -103,6 +130,17 @@ def test_url_filter(spark):
     assert urlfilter.judge(pages.limit(0), RULES, listed).count() == 0 and urlfilter.judge(pages, RULES, listed.limit(0)).where("listed").count() == 0
 
 
+@pytest.mark.parametrize("size", [16 << 20, 0])
+def test_url_query_needs_canonical_forms(spark, tmp_path, monkeypatch, size):
+    from tabulon.llm import queries
+
+    monkeypatch.setattr(urlfilter, "BROADCAST_BYTES", size)  # 0: the filter is joined by block instead of broadcast
+    urls = ["http://x-casino.org/de/1?page=2&ref=x", "https://X-casino.org/de/1/?page=2", "https://x-casino.org/de/1", "http://x-casino.org/de/2#top", "http://plain.org/1", None]
+    spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: r.verdict for r in queries.op2_url_filter(spark, str(tmp_path)).collect()}
+    assert got == {0: "block", 1: "block", 2: "allow", 3: "block", 4: "allow", 5: "allow"}
+
+
 def test_bloom_has_no_false_negatives(spark):
     names = spark.range(3000).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("c"))
     blocks, n = urlfilter.bloom(names, "c")
@@ -365,6 +403,8 @@ def test_language(spark):
     assert [s.lang for s in spans] == ["en", "fr"] and abs(spans[1].start - len(rows[504][1].split(" le ")[0])) < 400
     assert {r.lang_pred for r in langid.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert langid.identify(df.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="more than 256"):
+        langid.identify(df.withColumn("lang", F.concat(F.lit("l"), F.col("doc_id").cast("string"))))
 
 
 def test_tiling_marks_longest_first():
