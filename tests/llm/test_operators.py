@@ -320,6 +320,55 @@ def test_main_text(spark):
     assert np.mean([htmltext.decide(htmltext.grow(x, y), r) == v for r, v in zip(x, y)]) > 0.95
 
 
+ONE = "This is a long paragraph of the article that goes on for quite a while, with many words, so that it clearly is text of the page."
+TWO = "Another long paragraph follows here with other words and a number of sentences, each of them part of the story that is told."
+MENU = "<ul><li><a href=1>Home</a><li><a href=2>News</a><li><a href=3>Sport</a></ul>"
+HARD_PAGES = [
+    f"<article><p>{ONE}</p><script>for(var i=0;i<n;i++){{}}</script><p>{TWO}</p></article>",
+    f"<div><p>{ONE}</p><script><!-- x=1;</script><p>{TWO}</p></div>",
+    f"<div><p>{ONE}</p><button>More<p>{TWO}</p></div>",
+    f"<div><p>{ONE}</p><select><option>a<option>b</select><p>{TWO}</p></div>",
+    f'<div class="has-sidebar"><div class="content"><p>{ONE}</p><p>{TWO}</p></div></div>',
+    f'<div class="left-side content"><p>{ONE}</p><p>{TWO}</p></div>',
+    f'<div class="post read-more-post"><p>{ONE}</p><p>{TWO}</p></div>',
+    f'<div class="content comments-open"><p>{ONE}</p><p>{TWO}</p></div>',
+    f"<form action=x>{MENU}<div><p>{ONE}</p><p>{TWO}</p></div><label>Mail <input></label><button>Go</button></form>",
+    f"<div title=\"x class=ad y\" data-x='a>b'><p title=it's>{ONE}</p><!-- > --><p>{TWO}</p></div>",
+    f'<div id="cookie-consent"><p>{ONE} By going on you agree.</p></div><div id=content><p>{ONE}</p><p>{TWO}</p></div>',
+    f'<body class="single has-sidebar comments-open">{MENU}<div id="main"><article class="post type-post tag-ads"><div class="entry-content"><p>{ONE}</p><p>{TWO}</p></div></article><div id="comments" class="comments-area"><ol><li><article class="comment-body"><p>{TWO} I agree.</p></article></ol></div></div><div id="sidebar" class="widget-area"><p>{ONE} Buy.</p></div></body>',
+    f"<p>{ONE}<p><svg><text>no</text><svg></svg></svg><a href=x>{'link ' * 20}</a><iframe>no</iframe><p>{TWO}<textarea>no",
+]
+
+
+@pytest.mark.parametrize("page", HARD_PAGES)
+def test_main_text_of_hard_pages(page):
+    tree = htmltext.grow(*htmltext.labelled())
+    assert htmltext.main_text(page, tree)[0] == f"{ONE} {TWO}"
+
+
+def test_main_text_weighs_neighbours():
+    tree = htmltext.grow(*htmltext.labelled())
+    page = "<div><p>{0}</p><p>Nine plain words stand here between two others now.</p><p>{0}</p></div>"
+    linked, plain = "<a href=x>" + "linked words " * 12 + "</a>", "words " * 24
+    assert "Nine plain" in htmltext.main_text(page.format(plain), tree)[0] and "Nine plain" not in htmltext.main_text(page.format(linked), tree)[0]
+    assert htmltext.main_text(f"<p>{ONE} <math><mi>x</mi><mo>=</mo><mn>2</mn></math> end.</p>", tree)[0].endswith("x=2 end.")
+
+
+def test_packing_plan_comes_from_the_program(monkeypatch):
+    """Histograms that best fit alone packs badly or well: the program's configurations hold most pieces of all."""
+    odd = {1370: 3000, 1363: 3000, 2000: 500, 2100: 500}
+    cases = [({x: 37 for x in range(700, 3401, 7)}, 7211), ({2049: 1000, 2047: 1000, 1366: 900, 1365: 900, 1364: 900}, 1919), (odd, 2756)]
+    for hist, most in cases:
+        plan, placed = packing.plan(hist, 4096), packing.configurations(hist, 4096)[0]
+        got = Counter()
+        for items, n in plan:
+            got.update({a: b * n for a, b in items})
+        assert got == hist and sum(n for _, n in plan) <= most
+        assert sum(b * n for items, n in placed for _, b in items) > 0.9 * sum(hist.values())
+    monkeypatch.setattr(packing, "configurations", lambda hist, capacity: ([], dict(hist)))
+    assert sum(n for _, n in packing.plan(odd, 4096)) >= 2900  # without the program
+
+
 def test_packing_plan():
     rng = np.random.default_rng(1)
     for sizes in ([4096] * 3, [1], [2049] * 5 + [2047] * 5, np.minimum(4096, rng.lognormal(6, 1.2, 3000).astype(int) + 1).tolist(), [4095, 4095, 1, 1]):
