@@ -112,7 +112,7 @@ def labelled(table: str = TABLE) -> tuple[np.ndarray, np.ndarray]:
     rows = np.array([[float(v) for v in r.split()] for line in table.strip().splitlines() for r in line.split("|")])
     never, rarely = rows.copy(), rows.copy()
     never[:, 6], never[:, 8] = NEVER, 0
-    rarely[:, 6], rarely[:, 8] = RARELY, (rows[:, 0] >= 25) & (rows[:, 1] <= 0.3)
+    rarely[:, 6], rarely[:, 8] = RARELY, (rows[:, 0] >= 15) & (rows[:, 1] <= 0.3)
     rows = np.concatenate((rows, never, rarely))
     return rows[:, :-1], rows[:, -1].astype(int)
 
@@ -272,7 +272,7 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int]]:
                 at = len(page) if end < 0 else end + 1
             elif name in ("script", "style"):
                 break  # raw text to the end of the page
-            elif name not in _RAW:
+            else:
                 silent = True  # left open: it ends where something begins that it cannot hold
             continue
         if name not in _BLOCK:
