@@ -36,3 +36,29 @@ def test_pipeline_masks_values_after_equals_signs(spark):
     docs = frame(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
     for r in corpus_pipeline.secrets(spark, docs, "").collect():
         assert values[r.doc_id - 1] not in r.text and "=[secret]" in r.text and r.n_chars == len(r.text)
+
+
+def test_stages_on_hard_rows(spark, tmp_path):
+    rng = random.Random(13)
+    items = [(i, prose(rng, 20)) for i in range(2)] + [(None, prose(rng, 20)), (9, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    long = prose(rng, 60_000)
+    rows = [(i, prose(rng, 90)) for i in range(40)] + [(50, long), (51, long + " end"), (52, None), (53, ""), (None, prose(rng, 90)), (None, prose(rng, 40) + " " + items[2][1])]
+    rows += [rows[5], rows[5], (60, rows[6][1])]
+    docs = frame(spark, rows)  # columns whose names clash with those used inside
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / name))
+        out = spark.read.parquet(str(tmp_path / name))
+        ids = sorted((r.doc_id for r in out.collect()), key=str)
+        if name == "language":
+            assert ids == sorted([r[0] for r in rows if r[1]], key=str)
+        elif name == "near_duplicates":
+            assert ids == sorted([*range(40), 50, None, None], key=str)
+        elif name in ("decontamination", "secrets"):
+            assert ids == sorted([*range(40), 50, None], key=str)
+        assert name == "packing" or out.columns == docs.columns
+        docs = out
+    assert out.where("doc_id = 50").count() > 10 and out.where("doc_id is null").count() == 1
+    nulls = frame(spark, [(1, None), (None, None), (2, "")])
+    assert [stage(spark, nulls, str(tmp_path)).count() for _, stage in corpus_pipeline.STAGES] == [0, 3, 3, 3, 3]
