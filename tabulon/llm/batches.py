@@ -33,10 +33,9 @@ def map_texts(df: DataFrame, column: str, body: Callable[[], Callable[[list[str
     out = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()  # workers serve many tasks and stages: what the last one freed goes back to the system first
         each = body()
         for batch in batches:
-            # Workers serve many tasks and stages: what the last one freed goes back to the system first.
-            trim()
             texts = batch.column(column).to_pylist()
             for lo, hi in K.chunks([t or "" for t in texts]):
                 got = each(texts[lo:hi], batch.slice(lo, hi - lo))
