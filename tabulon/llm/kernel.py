@@ -15,7 +15,7 @@ from functools import cache
 
 import numpy as np
 
-CHUNK_CHARS = 1 << 19
+CHUNK_CHARS = 1 << 18
 _BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 
