@@ -18,7 +18,7 @@ from tabulon.functions.coerce import coerce
 from tabulon.functions.values import STEPS, Value, nothing, plain_json, root, settled, step
 from tabulon.plans.spec import SCALAR, Binding, ChildPlan, MappingPlan
 
-ERROR, KEY, PARENT, PAYLOAD, ROW = "__error", "__key", "__parent", "__payload", "__row"
+ERROR, KEY, PARENT, PAYLOAD, ROW, ORDER = "__error", "__key", "__parent", "__payload", "__row", "__order"
 PAYLOAD_CHARS, ID_CHARS = 100_000, 255
 
 
@@ -28,6 +28,8 @@ class Mapped:
 
     plan: MappingPlan
     frame: DataFrame
+    #: JSON of the document in ``__doc``.
+    document: Column | None = None
 
     def cache(self) -> Mapped:
         """Keep the projection, where several tables are read from it."""
@@ -56,8 +58,16 @@ class Mapped:
 
     @property
     def rejected(self) -> DataFrame:
-        """``source_id, payload, error`` of documents that could not be converted."""
-        return self.frame.where(F.col(ERROR).isNotNull() & (F.col(ROW) >= 0)).select(F.col("__id").alias("source_id"), F.col(PAYLOAD).alias("payload"), F.substring(ERROR, 1, 4000).alias("error"))
+        """``source_id, payload, error`` of documents that could not be converted (and their order, if it was given)."""
+        order = [ORDER] if ORDER in self.frame.columns else []
+        return self.frame.where(F.col(ERROR).isNotNull() & (F.col(ROW) >= 0)).select(F.col("__id").alias("source_id"), F.col(PAYLOAD).alias("payload"), F.substring(ERROR, 1, 4000).alias("error"), *order)
+
+
+    def refused(self, rows: DataFrame, error: str) -> DataFrame:
+        """Rows of the frame as rejected documents, with an error that is not the mapping's."""
+        order = [ORDER] if ORDER in rows.columns else []
+        payload = self.document if self.document is not None else F.lit(None).cast("string")
+        return rows.select(F.col("__id").alias("source_id"), payload.alias("payload"), F.lit(error[:4000]).alias("error"), *order)
 
 
 def _element(e: Column, kind: T.DataType | None, is_object: Column | None, binding: Binding) -> Value:
@@ -115,15 +125,21 @@ def _overflow(doc: Value, plan: MappingPlan) -> Column:
     return F.to_json(F.struct(*[doc.col.getField(n).alias(n) for n in names]), {"ignoreNullFields": "false"}) if names else F.lit(None).cast("string")
 
 
-def map_documents(df: DataFrame, plan: MappingPlan, doc: str | None = None, payload: bool = True) -> Mapped:
-    """Apply ``plan`` to the documents in column ``doc`` (variant or struct), or to whole rows."""
+def map_documents(df: DataFrame, plan: MappingPlan, doc: str | None = None, payload: bool = True, order: Column | None = None) -> Mapped:
+    """Apply ``plan`` to the documents in column ``doc`` (variant or struct), or to whole rows.
+
+    ``order`` is what documents are read by; of documents with one key it says which one is the last.
+    """
     d = root(df, doc)
     ident = d.at(("_id",))
     values = {"__k": d.at(plan.key.path), "__i": ident, **{f"__f{i}": d.at(b.path) for i, b in enumerate(plan.bindings)}, **{f"__a{i}": d.at(c.array_path) for i, c in enumerate(plan.children)}}
     carried: list[Column] = [_overflow(d, plan).alias("_extra")] if plan.overflow else []
     carried.append((d.col if payload else F.lit(None).cast("string")).alias("__doc"))
+    if order is not None:
+        carried.append(order.alias(ORDER))
     # One projection a step: what a step refers to often is a column, which the optimizer does not repeat.
-    rest = ["__doc", *(["_extra"] if plan.overflow else [])]
+    ordered = [ORDER] if order is not None else []
+    rest = ["__doc", *ordered, *(["_extra"] if plan.overflow else [])]
     parts: dict[str, dict[str, Column]] = {n: {} for n in values}
     for i in range(len(STEPS)):
         new = {n: step(i, v, parts[n]) for n, v in values.items() if i < 2 or not n.startswith("__a")}
@@ -159,10 +175,10 @@ def map_documents(df: DataFrame, plan: MappingPlan, doc: str | None = None, payl
     source = F.substring(F.coalesce(F.col("__i_text"), F.col(KEY).cast("string")), 1, ID_CHARS)
     # A row number is not deterministic, so filters on the error stay above it: pushed down they would repeat
     # the whole conversion in the predicate.
-    df = df.select(error.alias(ERROR), F.monotonically_increasing_id().alias(ROW), KEY, F.struct(*parts).alias(PARENT), source.alias("__id"), "__doc", *out)
+    df = df.select(error.alias(ERROR), F.monotonically_increasing_id().alias(ROW), KEY, F.struct(*parts).alias(PARENT), source.alias("__id"), "__doc", *ordered, *out)
     if not payload:
-        return Mapped(plan, df.withColumnRenamed("__doc", PAYLOAD))
+        return Mapped(plan, df.withColumn(PAYLOAD, F.col("__doc")))
     # The payload is only made for rejected documents.
     whole = plain_json(F.to_json(F.col("__doc"))) if d.dynamic else F.to_json(F.col("__doc"), {"ignoreNullFields": "false"})
     long = F.when(F.char_length(whole) > PAYLOAD_CHARS, F.concat(F.substring(whole, 1, PAYLOAD_CHARS), F.lit("...(truncated)"))).otherwise(whole)
-    return Mapped(plan, df.withColumn(PAYLOAD, F.when(F.col(ERROR).isNotNull(), long)).drop("__doc"))
+    return Mapped(plan, df.withColumn(PAYLOAD, F.when(F.col(ERROR).isNotNull(), long)), long)

@@ -6,23 +6,25 @@ import json
 import os
 import re
 import sqlite3
+import time
 from dataclasses import dataclass, field
 from urllib.parse import urlsplit
 
 from pyspark.sql import SparkSession
 
-from tabulon.errors import Conflict, InvalidMapping, InvalidRequest, NotFound
+from tabulon.errors import Conflict, InvalidMapping, InvalidRequest, NotFound, Unreachable
 from tabulon.operators.filters import parse_filter
 from tabulon.operators.infer import DEFAULT_SAMPLE, Proposal, infer_from
-from tabulon.operators.sinks import MODES, VersionedStore
+from tabulon.operators.jdbc import JdbcTarget
+from tabulon.operators.sinks import MODES, VersionedStore, dialect
 from tabulon.plans.spec import compile_mapping
 from tabulon.service.cron import Cron, Scheduler
 from tabulon.service.runner import JobTask, MappingTask, Runner, duration_ms
 from tabulon.service.store import Store
-from tabulon.sources.readers import REGISTRY, Source, open_source
+from tabulon.sources.readers import REGISTRY, Credentials, Source, open_source
 
 #: Default port and URL form by database type.
-DATABASES = {"POSTGRESQL": (5432, "jdbc:postgresql://{host}:{port}/{database}"), "MYSQL": (3306, "jdbc:mysql://{host}:{port}/{database}"), "MARIADB": (3306, "jdbc:mariadb://{host}:{port}/{database}"), "SQLSERVER": (1433, "jdbc:sqlserver://{host}:{port};databaseName={database}"), "ORACLE": (1521, "jdbc:oracle:thin:@//{host}:{port}/{database}"), "MONGODB": (27017, "mongodb://{host}:{port}/{database}")}
+DATABASES = {"POSTGRESQL": (5432, "jdbc:postgresql://{host}:{port}/{database}"), "MYSQL": (3306, "jdbc:mysql://{host}:{port}/{database}"), "MARIADB": (3306, "jdbc:mariadb://{host}:{port}/{database}"), "SQLSERVER": (1433, "jdbc:sqlserver://{host}:{port};databaseName={database}"), "ORACLE": (1521, "jdbc:oracle:thin:@//{host}:{port}/{database}"), "DERBY": (1527, "jdbc:derby://{host}:{port}/{database}"), "MONGODB": (27017, "mongodb://{host}:{port}/{database}")}
 KINDS = ("SOURCE", "TARGET")
 
 
@@ -58,7 +60,7 @@ def validate_connection(c: dict) -> None:
     kind = c.get("db_type")
     if not c.get("uri") and not c.get("host"):
         raise InvalidRequest("Either uri or host is required")
-    if kind in REGISTRY:
+    if kind in REGISTRY and kind not in DATABASES:
         return
     if kind not in DATABASES:
         raise InvalidRequest(f"Unknown database type {kind}")
@@ -133,7 +135,7 @@ class Control:
         return self.connection(cid)
 
     def _used(self, cid: int) -> bool:
-        return any(json.loads(j["spec"])["source"] == cid for j in self.meta.all("select spec from job"))
+        return any(cid in (json.loads(j["spec"])[k] for k in ("source", "target")) for j in self.meta.all("select spec from job"))
 
     def delete_connection(self, cid: int) -> None:
         self._connection(cid)
@@ -145,15 +147,39 @@ class Control:
         c = self._connection(cid)
         if c["kind"] != "SOURCE":
             raise InvalidRequest("The connection is not a source")
+        return self._open(c)
+
+    def _open(self, c: dict) -> Source:
         r = resolve(c)
-        return open_source(self.spark, c["db_type"], r.url, r.options)
+        return open_source(self.spark, c["db_type"], r.url, r.options, Credentials(r.username, r.password), r.database)
+
+    def open_target(self, cid: int | None) -> VersionedStore | JdbcTarget:
+        """The target of a connection; without one, the store of this node."""
+        if cid is None:
+            return self.target
+        c = self._connection(cid)
+        if c["kind"] != "TARGET":
+            raise InvalidRequest("The connection is not a target")
+        return self._target(c)
+
+    def _target(self, c: dict) -> VersionedStore | JdbcTarget:
+        if c["db_type"] == "PARQUET":
+            return VersionedStore(self.spark, resolve(c).url)
+        r, d = resolve(c), dialect(c["db_type"])
+        login = {k: v for k, v in (("user", r.username), ("password", r.password)) if v}
+        return JdbcTarget(self.spark, r.url, d, r.options | login)
 
     def test_connection(self, c: int | dict) -> dict:
-        """Probe a saved connection, or one that is not saved yet."""
-        if isinstance(c, int):
-            return self.source(c).probe()
-        r = resolve(c)
-        return open_source(self.spark, c["db_type"], r.url, r.options).probe()
+        """Probe a saved connection, source or target, or one that is not saved yet."""
+        c = self._connection(c) if isinstance(c, int) else c
+        if c.get("kind") != "TARGET":
+            return self._open(c).probe()
+        start, target = time.monotonic(), self._target(c)
+        try:
+            target.probe() if isinstance(target, JdbcTarget) else target.pointer()
+        except Exception as e:
+            raise Unreachable(str(e).splitlines()[0]) from e
+        return {"ok": True, "message": "connected", "latencyMs": int((time.monotonic() - start) * 1000)}
 
     def list_objects(self, cid: int) -> list[str]:
         return self.source(cid).list_objects()
@@ -179,9 +205,13 @@ class Control:
     def _validated(self, j: dict) -> tuple[dict, list[dict]]:
         if not (j.get("name") or "").strip():
             raise InvalidRequest("name is required")
-        spec = {"source": j.get("source"), "cron": j.get("cron") or None, "timezone": j.get("timezone") or "UTC", "syncMode": j.get("syncMode") or "FULL", "writeMode": j.get("writeMode") or "UPSERT", "batchSize": j.get("batchSize", 1000), "maxRetries": j.get("maxRetries", 3), "autoCreate": j.get("autoCreate", True)}
+        spec = {"source": j.get("source"), "target": j.get("target"), "cron": j.get("cron") or None, "timezone": j.get("timezone") or "UTC", "syncMode": j.get("syncMode") or "FULL", "writeMode": j.get("writeMode") or "UPSERT", "batchSize": j.get("batchSize", 1000), "maxRetries": j.get("maxRetries", 3), "autoCreate": j.get("autoCreate", True)}
         if self._connection(spec["source"])["kind"] != "SOURCE":
             raise InvalidRequest("The source connection is not a source")
+        if spec["target"] is not None:
+            if self._connection(spec["target"])["kind"] != "TARGET":
+                raise InvalidRequest("The target connection is not a target")
+            self.open_target(spec["target"])  # a database without a dialect is refused
         if spec["cron"]:
             Cron(spec["cron"], spec["timezone"])
         if spec["writeMode"] not in MODES:
@@ -267,6 +297,7 @@ class Control:
         """Start a run: its id, or with ``wait`` its final row."""
         j = self.job(jid)
         task, source = self._task(jid, j, j["mappings"]), self.source(j["source"])
+        task.target = self.open_target(j["target"])
         return self.runner.run(task, source, trigger) if wait else self.runner.start(task, source, trigger)
 
     def _schedule(self, jid: int) -> None:
@@ -297,7 +328,9 @@ class Control:
 
     def dead_letters(self, rid: int, page: int = 0, size: int = 20) -> dict:
         self.run(rid)
-        return self.meta.page(f"select * from dead_letter where run_id = {int(rid)}", "id", page, size)
+        pages = self.meta.page(f"select documents from dead_letter_file where run_id = {int(rid)}", "documents", page, size)  # checks the limits
+        total = self.meta.one("select coalesce(sum(documents), 0) as n from dead_letter_file where run_id = ?", rid)["n"]
+        return pages | {"items": self.runner.dead_letters(rid, page, size), "total": total, "pages": -(-total // size)}
 
     def cancel(self, rid: int) -> dict:
         if self.run(rid)["status"] != "RUNNING":

@@ -1,25 +1,35 @@
-"""Running jobs: scan, map, write, checkpoint, by slices that each commit as a whole."""
+"""Running jobs: scan, map, write, checkpoint, by slices that each commit as a whole.
+
+A run reads its documents once. What does not fit one slice is first written aside, dealt by key into at
+most ``MOST_SLICES`` slices, and the slices are mapped and committed in order of the key. The target keeps how far a load
+has come in the very commit that brings it there, so a run after a crash goes on from there,
+whether or not the checkpoint was still saved.
+"""
 
 from __future__ import annotations
 
 import socket
 import threading
 import time
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.errors import Conflict, InvalidRequest, TransientError
 from tabulon.operators.mapping import map_documents
 from tabulon.operators.sinks import VersionedStore
 from tabulon.plans.spec import compile_mapping
-from tabulon.service.store import Store, now
+from tabulon.service.store import Store, decode_value, encode_value, now
 from tabulon.sources.readers import ReadRequest, Source
 
 #: Messages of failures that pass: lost connections, lost executors.
 TRANSIENT = ("connection", "timed out", "timeout", "executor lost", "fetchfailed")
 FIRST_WAIT, MOST_WAIT, ERROR_CHARS = 1.0, 30.0, 4000
+#: A run commits in slices of about its batch size, but in no more than so many.
+MOST_SLICES = 16
 
 
 @dataclass
@@ -45,6 +55,7 @@ class JobTask:
     batch_size: int = 1000
     max_retries: int = 3
     auto_create: bool = True
+    target: object = None
 
     def validate(self) -> None:
         if self.sync_mode not in ("FULL", "INCREMENTAL"):
@@ -123,10 +134,12 @@ class Runner:
         return context.run_id
 
     def shutdown(self, seconds: float = 30) -> None:
+        """Cancel all runs and wait for them, ``seconds`` in all."""
         for context in list(self.active.values()):
             context.cancelled.set()
+        end = time.monotonic() + seconds
         for t in list(self.threads.values()):
-            t.join(seconds)
+            t.join(max(0.0, end - time.monotonic()))
 
     def _run(self, job: JobTask, source: Source, context: RunContext) -> dict:
         status, error = "SUCCEEDED", None
@@ -145,38 +158,102 @@ class Runner:
         return self.meta.one("select * from run where id = ?", context.run_id)
 
     def _migrate(self, job: JobTask, m: MappingTask, source: Source, context: RunContext) -> None:
-        plan = compile_mapping(m.target, m.mapping)
-        self.target.ensure(plan, job.auto_create, job.write_mode != "INSERT")
-        last_id, last_mark = self.meta.checkpoint(m.id)
+        plan, target = compile_mapping(m.target, m.mapping), job.target or self.target
+        target.ensure(plan, job.auto_create, job.write_mode != "INSERT")
         incremental = job.sync_mode == "INCREMENTAL"
+        last_id, last_mark = self.meta.checkpoint(m.id)
+        before = self.meta.load(m.id)
+        reached = target.position(before) if before else None
+        if reached is not None:  # the target is ahead of the checkpoint, or level with it
+            last_id, last_mark = (None, decode_value(reached)) if incremental else (decode_value(reached), None)
+            self.meta.save_checkpoint(m.id, last_id, last_mark)
+        load = uuid.uuid4().hex
+        self.meta.save_load(m.id, load)
         request = ReadRequest.incremental(m.collection, m.watermark_field, last_mark, m.filter) if incremental else ReadRequest.full(m.collection, m.filter, last_id)
         if job.write_mode == "TRUNCATE_AND_LOAD" and last_id is None:
-            self.target.truncate(plan)
+            target.truncate(plan)
         mode = "INSERT" if job.write_mode == "INSERT" else "UPSERT"
-        for i, part in enumerate(source.batches(request, job.batch_size)):
+        for i, part in enumerate(self._slices(source, request, job.batch_size, load)):
             if context.cancelled.is_set():
                 raise Cancelled
-            part = part.withColumn("__mark", source.field(part, m.watermark_field) if incremental else F.col(source.id_column))
             # Documents, whatever they carry beside the columns that the scan needs.
-            frame = part.drop("__mark") if source.doc_column is None else part
-            mapped = map_documents(frame, plan, source.doc_column).cache()
+            order = F.struct("__mark", F.col(source.id_column).alias("id"))
+            mapped = map_documents(part, plan, source.doc_column or "__document", order=order).cache()
             try:
-                n = mapped.frame.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("__error").isNotNull()).alias("bad")).first()
-                mark = part.agg(F.max("__mark").alias("m")).first().m
-                written = self._retried(lambda: self.target.write(mapped, mode, f"{context.run_id}:{m.id}:{i}"), job.max_retries, context)  # noqa: B023
-                bad = mapped.rejected.collect() if n.bad else []  # of one slice
+                n = mapped.frame.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("__error").isNotNull()).alias("bad"), F.max("__order.__mark").alias("mark")).first()
+                upto = encode_value(n.mark)
+                done = self._retried(lambda: target.write(mapped, mode, None if upto is None else (load, upto)), job.max_retries, context)  # noqa: B023
+                rejected = [mapped.rejected] if n.bad else []
+                rejected += [done.rejected] if done.refused else []
+                path = self._rejected(rejected, f"{load}-{i}") if rejected else None
             finally:
                 mapped.unpersist()
-            context.read, context.written, context.failed = context.read + n.n, context.written + written, context.failed + n.bad
+            bad = n.bad + done.refused
+            context.read, context.written, context.failed = context.read + n.n, context.written + done.rows, context.failed + bad
             with self.meta.transaction():
-                self.meta.many("insert into dead_letter (run_id, collection, source_id, payload, error, created_at) values (?, ?, ?, ?, ?, ?)", [(context.run_id, m.collection, r.source_id, r.payload, r.error[:ERROR_CHARS], now()) for r in bad])
-                if mark is not None:
-                    self.meta.save_checkpoint(m.id, None if incremental else mark, mark if incremental else None)
+                if path:
+                    self.meta.do("insert into dead_letter_file (run_id, collection, path, documents, created_at) values (?, ?, ?, ?, ?)", context.run_id, m.collection, path, bad, now())
+                if n.mark is not None:
+                    self.meta.save_checkpoint(m.id, None if incremental else n.mark, n.mark if incremental else None)
                 self.meta.do("update run set docs_read = ?, rows_written = ?, docs_failed = ? where id = ?", context.read, context.written, context.failed, context.run_id)
-        if not incremental:
+        if incremental:
+            self.meta.save_load(m.id, None)
+        else:
             self.meta.clear_checkpoint(m.id)
 
-    def _retried(self, write, retries: int, context: RunContext) -> int:
+    def _slices(self, source: Source, request: ReadRequest, size: int, load: str) -> Iterator[DataFrame]:
+        """The documents of a request with their ``__mark``, in slices by ascending mark; one scan of the documents."""
+        df = source.read(request)
+        own = df.columns
+        mark = source.field(df, request.watermark_field) if request.is_incremental else F.col(source.id_column)
+        df = df.withColumn("__mark", mark)
+        if source.doc_column is None:
+            df = df.select(F.struct(*own).alias("__document"), "__mark", F.col(source.id_column))
+        bounds = source.bounds(df.select(F.col("__mark").alias("k")), size, MOST_SLICES)
+        if bounds is None:
+            return
+        if not bounds:
+            yield df
+            return
+        stage = f"{self.target.root}/_staged/{load}"
+        place = F.lit(0)
+        for i, b in enumerate(bounds):
+            place = F.when(F.col("__mark") > F.lit(b), i + 1).otherwise(place)
+        try:
+            # A slice's rows are dealt over several tasks, so that none gets a whole slice.
+            salted = df.withColumn("__slice", place).repartition("__slice", F.pmod(F.xxhash64(F.col(source.id_column).cast("string")), F.lit(8)))
+            salted.write.partitionBy("__slice").parquet(stage)
+            for i in range(len(bounds) + 1):
+                if self.target.files.entries(f"_staged/{load}/__slice={i}"):
+                    yield self.spark.read.schema(df.schema).parquet(f"{stage}/__slice={i}")
+        finally:
+            self.target.files.delete(f"_staged/{load}")
+
+    def _rejected(self, parts: list[DataFrame], name: str) -> str:
+        """Write the documents that a slice rejects, in the order they were read; nothing of them passes the driver."""
+        path, rows = f"_dead_letters/{name}", parts[0]
+        for p in parts[1:]:
+            rows = rows.unionByName(p)
+        rows = rows.orderBy("__order").select(F.monotonically_increasing_id().alias("place"), "source_id", "payload", "error")
+        rows.write.mode("overwrite").parquet(f"{self.target.root}/{path}")
+        return path
+
+    def dead_letters(self, run_id: int, page: int, size: int) -> list[dict]:
+        """A page of a run's rejected documents, in the order they were met."""
+        skip, out = page * size, []
+        for f in self.meta.all("select * from dead_letter_file where run_id = ? order by id", run_id):
+            if skip >= f["documents"]:
+                skip -= f["documents"]
+                continue
+            rows = self.spark.read.schema("place long, source_id string, payload string, error string").parquet(f"{self.target.root}/{f['path']}")
+            got = rows.orderBy("place").offset(skip).limit(size - len(out)).collect()  # at most a page
+            out += [{"run_id": run_id, "collection": f["collection"], "created_at": f["created_at"], "source_id": r.source_id, "payload": r.payload, "error": r.error} for r in got]
+            skip = 0
+            if len(out) == size:
+                break
+        return out
+
+    def _retried(self, write, retries: int, context: RunContext):
         wait = self.first_wait
         for attempt in range(retries + 1):
             try:

@@ -1,4 +1,4 @@
-"""Metadata in a small transactional store (SQLite): connections, jobs, checkpoints, runs, dead letters."""
+"""Metadata in a small transactional store (SQLite): connections, jobs, checkpoints, runs, files of dead letters."""
 
 from __future__ import annotations
 
@@ -13,11 +13,11 @@ SCHEMA = """
 create table if not exists connection (id integer primary key, name text not null unique, kind text not null, db_type text not null, uri text, host text, port integer, database text, username text, secret_name text, options text);
 create table if not exists job (id integer primary key, name text not null unique, spec text not null, enabled integer not null default 1, version integer not null default 0);
 create table if not exists mapping (id integer primary key, job_id integer not null references job(id) on delete cascade, order_index integer not null, collection text not null, target text not null, spec text not null);
-create table if not exists checkpoint (mapping_id integer primary key references mapping(id) on delete cascade, last_id text, last_watermark text, updated_at text);
+create table if not exists checkpoint (mapping_id integer primary key references mapping(id) on delete cascade, last_id text, last_watermark text, updated_at text, load_id text);
 create table if not exists run (id integer primary key, job_id integer not null references job(id) on delete cascade, trigger text not null, status text not null, started_at text not null, finished_at text, docs_read integer not null default 0, rows_written integer not null default 0, docs_failed integer not null default 0, error text, node text);
 create unique index if not exists one_running on run(job_id) where status = 'RUNNING';
-create table if not exists dead_letter (id integer primary key, run_id integer not null references run(id) on delete cascade, collection text not null, source_id text, payload text, error text not null, created_at text not null);
-create index if not exists dead_letter_run on dead_letter(run_id, id);
+create table if not exists dead_letter_file (id integer primary key, run_id integer not null references run(id) on delete cascade, collection text not null, path text not null unique, documents integer not null, created_at text not null);
+create index if not exists dead_letter_run on dead_letter_file(run_id, id);
 """
 
 
@@ -99,7 +99,15 @@ class Store:
         return (decode_value(row["last_id"]), decode_value(row["last_watermark"])) if row else (None, None)
 
     def save_checkpoint(self, mapping_id: int, last_id=None, last_watermark=None) -> None:
-        self.do("insert into checkpoint values (?, ?, ?, ?) on conflict(mapping_id) do update set last_id = excluded.last_id, last_watermark = excluded.last_watermark, updated_at = excluded.updated_at", mapping_id, encode_value(last_id), encode_value(last_watermark), now())
+        self.do("insert into checkpoint (mapping_id, last_id, last_watermark, updated_at) values (?, ?, ?, ?) on conflict(mapping_id) do update set last_id = excluded.last_id, last_watermark = excluded.last_watermark, updated_at = excluded.updated_at", mapping_id, encode_value(last_id), encode_value(last_watermark), now())
+
+    def load(self, mapping_id: int) -> str | None:
+        """The load that was under way when the mapping last ran, if it did not end."""
+        row = self.one("select load_id from checkpoint where mapping_id = ?", mapping_id)
+        return row and row["load_id"]
+
+    def save_load(self, mapping_id: int, load: str | None) -> None:
+        self.do("insert into checkpoint (mapping_id, updated_at, load_id) values (?, ?, ?) on conflict(mapping_id) do update set load_id = excluded.load_id", mapping_id, now(), load)
 
     def clear_checkpoint(self, mapping_id: int) -> None:
         self.do("delete from checkpoint where mapping_id = ?", mapping_id)

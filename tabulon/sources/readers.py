@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,39 +66,33 @@ class Source:
     def field(self, df: DataFrame, path: str) -> Column:
         return F.col(".".join(f"`{p}`" for p in path.split(".")))
 
-    def batches(self, request: ReadRequest, size: int) -> Iterator[DataFrame]:
-        """Slices of the scan by key range, each of about ``size`` documents, in order of the key.
+    @staticmethod
+    def bounds(keys: DataFrame, size: int, most: int) -> list | None:
+        """Ascending values that part ``keys(k)`` into slices of about ``size``, at most ``most`` of them; None if there are no rows.
 
-        The bounds come from quantiles of the key, so no slice is found by counting off rows.
+        A slice takes the keys up to its bound. Numbers and times are parted by quantiles, texts by their first
+        characters' order among keys chosen by hash; only the key is read.
         """
-        df = self.read(request)
-        key = request.watermark_field or self.id_column
-        order = self.field(df, key)
-        n = df.count()
-        slices = -(-n // size)
+        n = keys.count()
+        slices = min(-(-n // size), most)
         if slices <= 1:
-            if n:
-                yield df
-            return
-        kind = dict(df.select(order.alias("k")).dtypes)["k"]
-        ranked = df.select(order.alias("k")).where("k is not null")
+            return [] if n else None
+        known = keys.where("k is not null")
+        kind = dict(keys.dtypes)["k"]
         if kind in ("string", "binary"):
-            bounds = [r.k for r in ranked.select(F.col("k"), F.pmod(F.xxhash64("k"), F.lit(slices)).alias("h")).where("h = 0").distinct().orderBy("k").limit(slices - 1).collect()]
+            # At most about 64 candidates a slice, whatever the number of rows.
+            share = max(1, n // (slices * 64))
+            drawn = known.where(F.pmod(F.xxhash64("k"), F.lit(share)) == 0).select("k").distinct().orderBy("k").limit(slices * 256).collect()
+            got = [drawn[len(drawn) * i // slices].k for i in range(1, slices)] if drawn else []
         else:
-            probs = [i / slices for i in range(1, slices)]
-            as_number = F.unix_micros(F.col("k").cast("timestamp")) if kind.startswith(("timestamp", "date")) else F.col("k")
-            bounds = ranked.agg(F.percentile_approx(as_number, probs, 10_000).alias("b")).first().b or []
-            if kind.startswith(("timestamp", "date")):
-                order = F.unix_micros(order.cast("timestamp"))
-        bounds = sorted(set(bounds))
-        for i in range(len(bounds) + 1):
-            part = df
-            if i:
-                part = part.where(order > F.lit(bounds[i - 1]))
-            if i < len(bounds):
-                upto = order <= F.lit(bounds[i])
-                part = part.where(upto | order.isNull() if i == 0 else upto)
-            yield part
+            is_time = kind.startswith(("timestamp", "date"))
+            number = F.unix_micros(F.col("k").cast("timestamp")) if is_time else F.col("k")
+            got = known.agg(F.percentile_approx(number, [i / slices for i in range(1, slices)], 10_000).alias("b")).first().b or []
+            if is_time:
+                spark = keys.sparkSession
+                rows = spark.createDataFrame([(x,) for x in got], "x long").select(F.timestamp_micros("x").cast(kind).alias("k")) if got else None
+                got = [r.k for r in rows.collect()] if rows is not None else []
+        return sorted(set(got))
 
     def sample(self, collection: str, size: int, seed: int = 0) -> DataFrame:
         return self.load(collection).orderBy(F.rand(seed)).limit(size)
@@ -167,7 +162,11 @@ class TableSource(Source):
         return self.spark.table(f"{self.location}.{collection}" if self.location else collection)
 
     def list_objects(self) -> list[str]:
-        return sorted(t.name for t in self.spark.catalog.listTables(self.location or None) if not t.isTemporary)
+        """Of one database by name; without a location those of all databases, as ``database.table``."""
+        listed = lambda d: [t.name for t in self.spark.catalog.listTables(d) if not t.isTemporary]
+        if self.location:
+            return sorted(listed(self.location))
+        return sorted(f"{d.name}.{t}" for d in self.spark.catalog.listDatabases() for t in listed(d.name))
 
 
 class ConnectorSource(Source):
@@ -175,17 +174,45 @@ class ConnectorSource(Source):
 
     def load(self, collection: str) -> DataFrame:
         options = {k: v for k, v in self.options.items() if k != "format"}
-        return self.spark.read.format(self.options["format"]).options(**options).option("collection", collection).option("connection.uri", self.location).load()
+        try:
+            return self.spark.read.format(self.options["format"]).options(**options).option("collection", collection).option("connection.uri", self.location).load()
+        except Exception as e:
+            if "DATA_SOURCE_NOT_FOUND" in str(e) or "ClassNotFoundException" in str(e):
+                raise Unreachable(f"The connector {self.options['format']!r} is not on the class path") from e
+            raise
 
     def list_objects(self) -> list[str]:
         raise Unreachable(f"{self.options.get('format')} cannot be listed without its connector")
 
 
-REGISTRY: dict[str, Callable[..., Source]] = {"PARQUET": ParquetSource, "JSONL": ExtendedJsonSource, "TABLE": TableSource, "CONNECTOR": ConnectorSource}
+@dataclass(frozen=True)
+class Credentials:
+    """Who reads; the password never shows."""
+
+    username: str | None = None
+    password: str | None = field(default=None, repr=False)
+
+    def within(self, uri: str) -> str:
+        """``uri`` with the credentials in their place; what it says itself stays."""
+        scheme, mark, rest = uri.partition("://")
+        if not self.username or not mark or "@" in rest.split("/")[0]:
+            return uri
+        login = quote(self.username, safe="") + (":" + quote(self.password, safe="") if self.password else "")
+        return f"{scheme}://{login}@{rest}"
+
+
+REGISTRY: dict[str, Callable[..., Source]] = {"PARQUET": ParquetSource, "JSONL": ExtendedJsonSource, "TABLE": TableSource, "CONNECTOR": ConnectorSource, "MONGODB": ConnectorSource}
 
 
-def open_source(spark: SparkSession, kind: str, location: str, options: dict[str, str] | None = None) -> Source:
-    """The source of a kind; unknown kinds are refused."""
-    if kind.upper() not in REGISTRY:
+def open_source(spark: SparkSession, kind: str, location: str, options: dict[str, str] | None = None, login: Credentials = Credentials(), database: str | None = None) -> Source:
+    """The source of a kind; unknown kinds are refused. A document store gets login and database as its connector expects them."""
+    kind, options = kind.upper(), dict(options or {})
+    if kind not in REGISTRY:
         raise InvalidRequest(f"Source type {kind} is not supported")
-    return REGISTRY[kind.upper()](spark, location, options)
+    if kind == "MONGODB":
+        if not database:
+            raise InvalidRequest("A document store needs a database, in its uri or beside it")
+        options = {"format": "mongodb", "database": database} | options
+    elif kind == "CONNECTOR":
+        options |= {k: v for k, v in (("user", login.username), ("password", login.password)) if v}
+    return REGISTRY[kind](spark, login.within(location) if kind == "MONGODB" else location, options)

@@ -4,8 +4,10 @@ import time
 from datetime import datetime, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
 from tabulon.errors import Conflict, InvalidRequest, NotFound, TargetSchemaError, TransientError, Unreachable
+from tabulon.operators.mapping import map_documents
 from tabulon.operators.sinks import PostgresDialect, VersionedStore, dialect
 from tabulon.plans.spec import compile_mapping
 from tabulon.service.control import Control, resolve
@@ -13,31 +15,36 @@ from tabulon.service.cron import Cron
 from tabulon.service.runner import RunContext, Runner
 from tabulon.service.store import Store, decode_value, encode_value
 
-MAPPING = {"fields": [{"path": "status", "length": 20}, {"path": "total", "type": "DECIMAL"}, {"path": "customer.name"}, {"path": "updatedAt", "column": "updated_at", "type": "TIMESTAMP"}, {"path": "meta", "strategy": "JSON"},
-                      {"path": "items", "strategy": "CHILD_TABLE", "childTable": "order_items", "fields": [{"path": "sku"}, {"path": "qty", "type": "INT"}, {"path": "price", "type": "DECIMAL"}]}, {"path": "tags", "strategy": "CHILD_TABLE", "childTable": "order_tags"}]}
+#: A market's stalls: each with what it sells and the days it stands.
+MAPPING = {"primaryKey": {"source": "stall"}, "fields": [{"path": "kind", "length": 10}, {"path": "rent", "type": "DOUBLE"}, {"path": "seen", "type": "TIMESTAMP"}, {"path": "note", "strategy": "JSON"},
+                      {"path": "goods", "strategy": "CHILD_TABLE", "childTable": "goods", "fields": [{"path": "what"}, {"path": "kilos", "type": "INT"}]}, {"path": "days", "strategy": "CHILD_TABLE", "childTable": "days"}]}
+TABLES = ("stalls", "goods", "days")
 
 
-def orders():
-    date = lambda d: {"$date": f"2026-03-0{d}T09:15:00Z"}
-    return [{"_id": {"$oid": f"66000000000000000000000{i}"}} | d for i, d in enumerate([
-        {"status": "SHIPPED", "total": {"$numberDecimal": "149.97"}, "customer": {"name": "A"}, "items": [{"sku": "B", "qty": 2, "price": {"$numberDecimal": "1.5"}}, {"sku": "L", "qty": 1}], "tags": ["gift", "express"], "updatedAt": date(2)},
-        {"status": "PENDING", "total": {"$numberDecimal": "12.50"}, "items": [{"sku": "M", "qty": 1}], "updatedAt": date(5)}, {"status": "NEW", "updatedAt": date(6)}], 1)]
+def stalls():
+    seen = lambda d: {"$date": f"2023-09-{d:02d}T06:00:00Z"}
+    return [
+        {"_id": 1, "stall": "N4", "kind": "fish", "rent": 80, "goods": [{"what": "cod", "kilos": 12}], "days": ["tue", "sat"], "seen": seen(1)},
+        {"_id": 2, "stall": "N7", "kind": "fruit", "rent": 65.5, "goods": [{"what": "pears", "kilos": 40}, {"what": "plums"}, {"what": "figs", "kilos": 3}], "seen": seen(3)},
+        {"_id": 3, "stall": "S1", "kind": "cheese", "days": ["sat"], "note": {"shade": True}, "seen": seen(3)},
+        {"_id": 4, "stall": "S2", "seen": seen(9)},
+    ]
 
 
 class World:
     def __init__(self, spark, root):
         self.root = root
         (root / "src").mkdir()
-        self.store = VersionedStore(spark, f"file://{root}/target", buckets=4)
+        self.store = VersionedStore(spark, f"file://{root}/target")
         self.control = Control(spark, Store(), self.store, node="n1")
         self.control.runner.first_wait = 0.01
-        self.cid = self.control.save_connection({"name": "src", "kind": "SOURCE", "db_type": "JSONL", "uri": f"file://{root}/src"})["id"]
+        self.cid = self.control.save_connection({"name": "src", "kind": "SOURCE", "db_type": "JSONL", "uri": f"file://{root}/src", "options": {"idType": "int"}})["id"]
 
-    def put(self, docs, name="orders"):
+    def put(self, docs, name="stalls"):
         (self.root / "src" / f"{name}.jsonl").write_text("".join(json.dumps(d) + "\n" for d in docs))
 
     def job(self, jid=None, mapping=MAPPING, **rest):
-        m = {"collection": "orders", "target": "orders", "mapping": mapping} | {k: rest.pop(k) for k in ("watermarkField", "filter") if k in rest}
+        m = {"collection": "stalls", "target": "stalls", "mapping": mapping} | {k: rest.pop(k) for k in ("watermarkField", "filter") if k in rest}
         return self.control.save_job({"name": "j", "source": self.cid, "mappings": [m]} | rest, jid)["id"]
 
     def go(self, jid):
@@ -50,88 +57,202 @@ def world(spark, tmp_path):
     return World(spark, tmp_path)
 
 
+def counts(world):
+    return [world.store.read(t).count() for t in TABLES]
+
+
 def test_full_upsert_replaces_children(world):
-    world.put(orders())
+    world.put(stalls())
     jid = world.job()
-    assert world.go(jid) == ("SUCCEEDED", 3, 8, 0)
-    assert [world.store.read(t).count() for t in ("orders", "order_items", "order_tags")] == [3, 3, 2]
-    docs = orders()
-    docs[0] |= {"items": docs[0]["items"][:1], "tags": []}
-    world.put(docs)
-    assert world.go(jid)[0] == "SUCCEEDED"
-    assert [world.store.read(t).count() for t in ("orders", "order_items", "order_tags")] == [3, 2, 0]
-    assert world.control.meta.all("select * from checkpoint") == []
-    assert world.control.runs(jid, 0, 1)["pages"] == 2 and world.store.vacuum() >= 1 and world.store.read("orders").count() == 3
+    assert world.go(jid) == ("SUCCEEDED", 4, 11, 0) and counts(world) == [4, 4, 3]
+    docs = stalls()
+    docs[1] |= {"goods": [{"what": "quinces", "kilos": 9}], "days": ["wed"]}
+    docs[0] |= {"goods": None, "days": []}
+    world.put(docs[:2])
+    assert world.go(jid) == ("SUCCEEDED", 2, 4, 0) and counts(world) == [4, 1, 2]
+    assert world.store.read("goods").first().what == "quinces"
+    assert world.control.meta.all("select * from checkpoint") == [] and world.control.runs(jid, 0, 1)["pages"] == 2
 
 
 def test_bad_documents_become_dead_letters(world):
-    world.put([*orders(), {"_id": {"$oid": "660000000000000000000009"}, "status": "BROKEN", "total": "not a number"}, {"_id": {"$oid": "66000000000000000000000a"}, "meta": {"note": "nul\u0000byte"}}])
+    bad = [{"_id": 20 + i, "stall": f"B{i}", "rent": "dear"} for i in range(5)] + [{"_id": 30, "stall": "C1", "note": {"x": "nul\u0000"}}, {"_id": 31}]
+    world.put([bad[6], *stalls(), *bad[5::-1]])
     jid = world.job()
-    assert world.go(jid) == ("PARTIAL", 5, 8, 2)
-    page = world.control.dead_letters(world.control.job(jid)["lastRun"]["id"])
-    assert page["total"] == 2 and {x["source_id"] for x in page["items"]} == {"660000000000000000000009", "66000000000000000000000a"}
+    assert world.go(jid) == ("PARTIAL", 11, 11, 7)
+    rid = world.control.job(jid)["lastRun"]["id"]
+    pages = [world.control.dead_letters(rid, p, 3) for p in range(4)]
+    assert [len(p["items"]) for p in pages] == [3, 3, 1, 0] and all((p["total"], p["pages"]) == (7, 3) for p in pages)
+    items = [x for p in pages for x in p["items"]]
+    assert [x["source_id"] for x in items] == ["20", "21", "22", "23", "24", "30", "31"]  # as they were read
+    assert json.loads(items[0]["payload"])["rent"] == "dear" and "column 'rent'" in items[0]["error"] and "primary key" in items[6]["error"] and items[0]["collection"] == "stalls"
+    with pytest.raises(InvalidRequest):
+        world.control.dead_letters(rid, 0, 201)
+
+
+def numbered(ids):
+    return [{"_id": i, "lot": f"L{i % 9}"} for i in ids]
+
 
+KEYED = {"primaryKey": {"type": "INT"}, "fields": [{"path": "lot"}]}
 
-def test_slices_resume_and_truncate(world):
-    world.put([{"_id": i, "status": f"S{i % 7}"} for i in range(1, 6)])
-    world.control.source(world.cid)
-    world.control.meta.do("update connection set options = ?", json.dumps({"idType": "int"}))
-    keyed = {"primaryKey": {"type": "INT"}, "fields": [{"path": "status"}]}
-    jid = world.job(mapping=keyed, batchSize=2, writeMode="TRUNCATE_AND_LOAD")
+
+def ids(world, table="stalls"):
+    return sorted(r.id for r in world.store.read(table).collect())
+
+
+def test_runs_resume_after_the_last_id(world):
+    world.put(numbered(range(10, 22)))
+    jid = world.job(mapping=KEYED, batchSize=5, writeMode="TRUNCATE_AND_LOAD")
+    mid = world.control.job(jid)["mappings"][0]["id"]
+    world.control.meta.save_checkpoint(mid, last_id=14)
+    assert world.go(jid) == ("SUCCEEDED", 7, 7, 0) and ids(world) == list(range(15, 22))
+    assert world.control.meta.checkpoint(mid) == (None, None)
+    world.put(numbered([11, 17]))  # from the beginning, so the table is emptied first
+    assert world.go(jid) == ("SUCCEEDED", 2, 2, 0) and ids(world) == [11, 17]
+
+
+def test_many_documents_in_small_batches(world, monkeypatch):
+    world.put(numbered(range(30_000)))
+    jid = world.job(mapping=KEYED, batchSize=20)
+    scans, commits, real = [], [], VersionedStore.write
+    load = type(world.control.source(world.cid)).load
+    monkeypatch.setattr(type(world.control.source(world.cid)), "load", lambda self, c: scans.append(c) or load(self, c))
+    monkeypatch.setattr(VersionedStore, "write", lambda self, m, mode, mark=None: commits.append(m.frame) or real(self, m, mode, mark))
+    assert world.go(jid) == ("SUCCEEDED", 30_000, 30_000, 0) and ids(world) == list(range(30_000))
+    assert scans == ["stalls"] and 8 <= len(commits) <= 16
+    plans = [f._jdf.queryExecution().optimizedPlan().toString() for f in commits]
+    assert all(p.count("__slice=") or "_staged" in p or "/src/" not in p for p in plans)
+    parts = world.store.pointer()["tables"]["stalls"]["parts"]
+    assert len(parts) < len(commits) and not world.store.files.entries("_staged")
+
+
+def test_a_crash_between_the_commits_repeats_nothing(world, monkeypatch):
+    world.put(numbered(range(40)))
+    jid = world.job(mapping=KEYED, batchSize=10, writeMode="INSERT")
     mid = world.control.job(jid)["mappings"][0]["id"]
-    world.control.meta.save_checkpoint(mid, last_id=2)
-    assert world.go(jid) == ("SUCCEEDED", 3, 3, 0)
-    assert sorted(r.id for r in world.store.read("orders").collect()) == [3, 4, 5] and world.control.meta.checkpoint(mid) == (None, None)
-    world.put([{"_id": i, "status": "x"} for i in (1, 4)])
-    assert world.go(jid) == ("SUCCEEDED", 2, 2, 0) and sorted(r.id for r in world.store.read("orders").collect()) == [1, 4]
+    real, calls = Store.save_checkpoint, []
+
+    def crash(self, *a, **k):
+        calls.append(a)
+        if len(calls) == 2:
+            raise RuntimeError("power cut")
+        return real(self, *a, **k)
+
+    monkeypatch.setattr(Store, "save_checkpoint", crash)
+    assert world.go(jid)[0] == "FAILED"
+    done = ids(world)
+    assert 10 < len(done) < 40 and world.control.meta.checkpoint(mid)[0] < max(done)  # the target is ahead
+    world.control.startup()
+    status, read, written, failed = world.go(jid)
+    assert (status, read, failed) == ("SUCCEEDED", 40 - len(done), 0) and ids(world) == list(range(40))
+    assert world.go(jid) == ("PARTIAL", 40, 0, 40)  # a new run finds every key taken
+    world.control.shutdown()
 
 
 def test_incremental_rereads_the_boundary(world):
-    world.put(orders())
-    jid = world.job(syncMode="INCREMENTAL", watermarkField="updatedAt")
-    assert world.go(jid)[1] == 3
-    docs = orders()
-    docs[0] |= {"status": "CHANGED", "updatedAt": {"$date": "2026-03-07T00:00:00Z"}}
-    world.put([*docs, {"_id": {"$oid": "660000000000000000000004"}, "updatedAt": {"$date": "2026-03-08T00:00:00Z"}}])
+    world.put(stalls())
+    jid = world.job(syncMode="INCREMENTAL", watermarkField="seen")
+    assert world.go(jid)[:2] == ("SUCCEEDED", 4)
+    docs = stalls()
+    docs[0] |= {"kind": "eels", "seen": {"$date": "2023-09-09T06:00:00Z"}}
+    world.put([*docs, {"_id": 9, "stall": "W1", "seen": {"$date": "2023-09-10T00:00:00Z"}}])
     assert world.go(jid)[1] == 3 and world.go(jid)[1] == 1
-    assert world.store.read("orders").where("status = 'CHANGED'").count() == 1 and world.store.read("orders").count() == 4
+    assert {(r.id, r.kind) for r in world.store.read("stalls").collect()} >= {("N4", "eels"), ("W1", None)} and world.store.read("stalls").count() == 5
 
 
 def test_schema_grows_and_refuses(world):
-    world.put(orders())
-    jid = world.job(mapping={"fields": [{"path": "status"}]})
+    world.put(stalls())
+    narrow = {"primaryKey": {"source": "stall"}, "fields": [{"path": "kind"}]}
+    jid = world.job(mapping=narrow)
     world.go(jid)
-    jid = world.job(jid, mapping={"fields": [{"path": "status"}, {"path": "total", "type": "DECIMAL"}]})
-    assert world.go(jid)[0] == "SUCCEEDED" and world.store.read("orders").where("total is not null").count() == 2
-    other = world.control.save_job({"name": "k", "source": world.cid, "autoCreate": False, "mappings": [{"collection": "orders", "target": "missing"}]})["id"]
+    jid = world.job(jid, mapping=narrow | {"fields": [*narrow["fields"], {"path": "rent", "type": "DOUBLE"}]})
+    assert world.go(jid)[0] == "SUCCEEDED" and world.store.read("stalls").where("rent is not null").count() == 2
+    other = world.control.save_job({"name": "k", "source": world.cid, "autoCreate": False, "mappings": [{"collection": "stalls", "target": "nowhere"}]})["id"]
     r = world.control.run_now(other, wait=True)
-    assert r["status"] == "FAILED" and "'missing' does not exist" in r["error"]
+    assert r["status"] == "FAILED" and "'nowhere' does not exist" in r["error"]
     with pytest.raises(TargetSchemaError, match="key"):
-        world.store.ensure(compile_mapping("orders", {"primaryKey": {"column": "other_key"}}))
+        world.store.ensure(compile_mapping("stalls", {"primaryKey": {"column": "other_key"}}))
+    world.control.meta.do("update mapping set spec = json_set(spec, '$.filter', '{bad') where job_id = ?", other)
+    assert world.control.run_now(other, wait=True)["status"] == "FAILED"  # a filter that is bad in the store
 
 
-def test_insert_appends(world):
-    world.put(orders())
+def test_insert_refuses_keys_that_are_taken(world):
+    world.put(stalls())
     jid = world.job(writeMode="INSERT")
-    world.go(jid)
-    world.go(jid)
-    assert world.store.read("orders").count() == 6 and world.store.read("order_items").count() == 6
+    assert world.go(jid) == ("SUCCEEDED", 4, 11, 0)
+    world.put([*stalls()[:2], {"_id": 8, "stall": "E5"}, {"_id": 9, "stall": "E5", "kind": "late"}])
+    assert world.go(jid) == ("PARTIAL", 4, 1, 3) and counts(world) == [5, 4, 3]
+    letters = world.control.dead_letters(world.control.job(jid)["lastRun"]["id"])["items"]
+    assert [x["source_id"] for x in letters] == ["1", "2", "9"] and all("duplicate key" in x["error"] and json.loads(x["payload"]) for x in letters)
+
+
+def batch(spark, rows, plan, mark=None, order=None):
+    df = spark.createDataFrame(rows, "k int, v int, _id int, m int")
+    return map_documents(df, plan, order=F.struct(*order) if order else None)
 
 
-def test_duplicates_last_wins_and_marks(world, spark):
-    from pyspark.sql import functions as F
+PAIRS = {"primaryKey": {"source": "k", "type": "INT"}, "fields": [{"path": "v", "type": "INT"}]}
 
-    from tabulon.operators.mapping import map_documents
-    plan = compile_mapping("t", {"primaryKey": {"source": "k", "type": "INT"}, "fields": [{"path": "v", "type": "INT"}]})
+
+def pairs(world, table="t"):
+    return sorted((r.id, r.v) for r in world.store.read(table).collect())
+
+
+def test_of_equal_keys_the_last_read_wins(world, spark):
+    plan = compile_mapping("t", PAIRS)
     world.store.ensure(plan)
-    df = spark.createDataFrame([(1, 5), (1, 7), (2, 1)], "k int, v int").withColumn("_id", F.col("v"))
-    for _ in range(2):
-        assert world.store.write(map_documents(df, plan), "UPSERT", mark="m") == 2
-    assert world.store.pointer()["version"] == 2 and {(r.id, r.v) for r in world.store.read("t").collect()} == {(1, 7), (2, 1)}
+    rows = [(1, 10, 2, 5), (1, 9, 10, 4), (2, 1, 1, 1)]  # as text, 9 is above 10 and _id 2 above _id 10
+    world.store.write(batch(spark, rows, plan, order=["_id"]), "UPSERT")
+    assert pairs(world) == [(1, 9), (2, 1)]
+    world.store.write(batch(spark, rows, plan, order=["m", "_id"]), "UPSERT")
+    assert pairs(world) == [(1, 10), (2, 1)]
+    for _ in range(2):  # a retry of the same position changes nothing
+        assert world.store.write(batch(spark, [(3, 3, 3, 3)], plan), "UPSERT", ("load", "3")).rows == 1
+    assert world.store.pointer()["version"] == 4 and world.store.position("load") == "3"
+
+
+def test_two_writers_lose_nothing(world, spark, monkeypatch):
+    one, two = compile_mapping("t", PAIRS), compile_mapping("u", PAIRS)
+    first, second = world.store, VersionedStore(spark, world.store.root)
+    first.ensure(one)
+    second.ensure(two)
+    commit, between = VersionedStore._commit, []
+
+    def late(self, pointer):
+        if self is first and not between:
+            between.append(1)  # while the first is about to commit, the second does, to both tables
+            second.write(batch(spark, [(7, 7, 7, 7)], two), "UPSERT")
+            second.write(batch(spark, [(1, 2, 1, 1), (5, 5, 5, 5)], one), "UPSERT")
+        return commit(self, pointer)
+
+    monkeypatch.setattr(VersionedStore, "_commit", late)
+    first.write(batch(spark, [(1, 1, 1, 1)], one), "UPSERT")
+    assert pairs(world) == [(1, 1), (5, 5)] and pairs(world, "u") == [(7, 7)]
+    between.clear()
+    first.write(batch(spark, [(5, 9, 9, 9), (6, 6, 6, 6)], one), "INSERT")
+    assert pairs(world) == [(1, 2), (5, 5), (6, 6)]
+    threads = [threading.Thread(target=lambda i=i: VersionedStore(spark, first.root).write(batch(spark, [(100 + i, i, i, i)], one), "UPSERT")) for i in range(6)]
+    [t.start() for t in threads], [t.join() for t in threads]
+    assert len(pairs(world)) == 9
+
+
+def test_parts_are_merged_and_old_files_cleared(world, spark):
+    world.put(stalls())
+    world.go(world.job())
+    for i in range(20):
+        docs = stalls()[:2]
+        docs[0] |= {"kind": f"k{i}", "goods": [{"what": "cod", "kilos": i}] * (i % 3)}
+        df = spark.createDataFrame([(json.dumps(d),) for d in docs], "j string").select(F.parse_json("j").alias("doc"))
+        world.store.write(map_documents(df, compile_mapping("stalls", MAPPING), "doc"), "UPSERT")
+    parts = world.store.pointer()["tables"]["stalls"]["parts"]
+    assert len(parts) <= 8 and counts(world) == [4, 4, 3]  # the last batch has one of "cod", and figs, pears and plums
+    assert world.store.read("stalls").where("id = 'N4'").first().kind == "k19"
+    assert world.store.vacuum() == 0 and world.store.vacuum(hours=-1) > 10 and counts(world) == [4, 4, 3]
+    assert world.store.merge("goods", everything=True) and counts(world) == [4, 4, 3] and len(world.store.pointer()["tables"]["goods"]["parts"]) == 1
 
 
 def test_retry_cancel_and_claim(world, monkeypatch):
-    world.put(orders())
+    world.put(stalls())
     jid = world.job(maxRetries=2)
     real, fails = VersionedStore.write, [2]
 
@@ -180,11 +301,22 @@ def test_control_rules(world):
         c.run(99)
     with pytest.raises(InvalidRequest):
         c.runs(jid, 0, 201)
-    world.put(orders())
-    assert c.list_objects(world.cid) == ["orders"] and c.test_connection(world.cid)["ok"] and c.infer(world.cid, "orders").watermark_field == "updatedAt"
+    world.put(stalls())
+    assert c.list_objects(world.cid) == ["stalls"] and c.test_connection(world.cid)["ok"] and c.infer(world.cid, "stalls").watermark_field is None
     with pytest.raises(Unreachable):
         c.test_connection({"name": "y", "kind": "SOURCE", "db_type": "JSONL", "uri": "file:///nowhere/at/all"})
     assert "passwordSet" in c.connection(world.cid)
+    for db, message in (("MYSQL", "not supported yet"), ("DERBY", None)):
+        tid = c.save_connection({"name": db, "kind": "TARGET", "db_type": db, "host": "h", "database": "d"})["id"]
+        if message:
+            with pytest.raises(InvalidRequest, match=message):
+                world.job(target=tid)
+        else:
+            assert world.job(jid, target=tid) == jid
+            with pytest.raises(Conflict):
+                c.delete_connection(tid)
+    with pytest.raises(InvalidRequest, match="not a target"):
+        world.job(jid, target=world.cid)
 
 
 @pytest.mark.parametrize("kind, url", [("POSTGRESQL", "jdbc:postgresql://db.local:5432/w"), ("MYSQL", "jdbc:mysql://db.local:3306/w"), ("MARIADB", "jdbc:mariadb://db.local:3306/w"), ("SQLSERVER", "jdbc:sqlserver://db.local:1433;databaseName=w"), ("ORACLE", "jdbc:oracle:thin:@//db.local:1521/w"), ("MONGODB", "mongodb://db.local:27017/w")])
@@ -232,7 +364,7 @@ def test_cron_rejects(text):
 
 
 def test_scheduled_run(world):
-    world.put(orders())
+    world.put(stalls())
     jid = world.job(cron="* * * * * ?")
     world.control.startup()
     for _ in range(150):
@@ -262,5 +394,28 @@ def test_streaming_takes_in_only_new_files(world, spark, tmp_path):
     assert world.store.read("ev").count() == 14 and world.store.pointer()["version"] == v and spark.read.parquet(str(tmp_path / "bad")).count() == 1
 
 
+def test_streams_begun_anew_have_marks_of_their_own(world, spark, tmp_path):
+    from tabulon.streaming.ingest import ingest
+    plan = compile_mapping("ev", {"primaryKey": {"type": "LONG"}, "fields": [{"path": "n", "type": "INT"}]})
+    for i in range(3):  # one folder, one checkpoint each: all batches have number 0
+        spark.sql(f"select id as _id, cast(id as string) as n from range({10 * i}, {10 * i + 10})").write.parquet(str(tmp_path / f"in{i}"))
+        ingest(spark.readStream.schema("_id long, n string").parquet(str(tmp_path / f"in{i}")), plan, world.store, str(tmp_path / f"cp{i}"), mode="INSERT").awaitTermination()
+    assert world.store.read("ev").count() == 30
+
+
+def test_sources_get_their_login(spark):
+    from tabulon.sources.readers import Credentials, open_source
+    login = Credentials("app", "p@ss/word")
+    s = open_source(spark, "MONGODB", "mongodb://h:27017/shop", {}, login, "shop")
+    assert s.location == "mongodb://app:p%40ss%2Fword@h:27017/shop" and s.options == {"format": "mongodb", "database": "shop"} and "p@ss" not in repr(login)
+    assert open_source(spark, "CONNECTOR", "x", {"format": "f"}, login).options == {"format": "f", "user": "app", "password": "p@ss/word"}
+    with pytest.raises(Unreachable, match="not on the class path"):
+        s.load("c")
+    with pytest.raises(InvalidRequest, match="database"):
+        open_source(spark, "MONGODB", "mongodb://h", {}, login)
+    spark.sql("create table if not exists listed_one as select 1 as _id")
+    assert "default.listed_one" in open_source(spark, "TABLE", "").list_objects() and "listed_one" in open_source(spark, "TABLE", "default").list_objects()
+
+
 def test_runner_is_exported():
     assert Runner
