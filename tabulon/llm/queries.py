@@ -72,7 +72,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffixdup import repeats
 
-    return repeats(table(spark, sf_dir, "documents"))
+    return repeats(table(spark, sf_dir, "documents")).select("doc_id", "start_word", "end_word", "n_words")
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,6 +100,38 @@ judged as (select page_id, host, path, {rule} as rule, coalesce(c in (select c f
 select page_id, host, path, rule, {verdict} as verdict, listed from judged"""
 
 
+#: Words of documents: letters, marks and digits, lower-cased.
+_WORDS = r"select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') as w from documents where text is not null"
+
+
+def _op9_sql(n: int = 50) -> str:
+    """All windows of n words that two documents have, merged where they overlap or touch."""
+    return f"""
+with words as ({_WORDS}),
+windows as (select doc_id, i - 1 as a, md5(array_to_string(w[i:i + {n - 1}], ' ')) as h from (select doc_id, w, unnest(generate_series(1, len(w) - {n - 1})) as i from words where len(w) >= {n})),
+shared as (select h from windows group by h having count(distinct doc_id) > 1),
+hits as (select distinct doc_id, a from windows where h in (select h from shared)),
+marked as (select *, case when a <= lag(a) over (partition by doc_id order by a) + {n} then 0 else 1 end as fresh from hits),
+runs as (select *, sum(fresh) over (partition by doc_id order by a) as g from marked)
+select doc_id, min(a) as start_word, max(a) + {n} as end_word, max(a) + {n} - min(a) as n_words from runs group by doc_id, g"""
+
+
+def _op10_sql(k: int = 5, threshold: float = 0.8) -> str:
+    """Sets of k-word shingles; all pairs that share one, by exact similarity; classes by walking the links."""
+    return f"""
+with recursive words as ({_WORDS}),
+sets as (select doc_id, list_sort(list_distinct(case when len(w) >= {k} then [array_to_string(w[i:i + {k - 1}], ' ') for i in generate_series(1, len(w) - {k - 1})] else [array_to_string(w, ' ')] end)) as s from words where len(w) > 0),
+rows as (select doc_id, md5(array_to_string(s, '|')) as node, s from sets),
+nodes as (select node, min(doc_id) as rep, count(*) as n, any_value(s) as s, len(any_value(s)) as size from rows group by node),
+entries as (select node, size, unnest(s) as x from nodes),
+pairs as (select a.node as a, b.node as b from entries a join entries b on a.x = b.x and a.node <> b.node group by a.node, b.node, a.size, b.size having count(*) >= {threshold} * (a.size + b.size - count(*)) - 1e-9),
+walk as (select node, node as reached from nodes union select walk.node, pairs.b from walk join pairs on walk.reached = pairs.a),
+classes as (select walk.node, min(rep) as class_id from walk join nodes on nodes.node = walk.reached group by walk.node),
+degrees as (select a as node, count(*) as n_links from pairs group by a)
+select d.doc_id, coalesce(c.class_id, d.doc_id) as class_id, coalesce(g.n_links, 0) as n_links, coalesce(o.n - 1, 0) as n_copies
+from documents d left join rows r on r.doc_id = d.doc_id left join classes c on c.node = r.node left join degrees g on g.node = r.node left join nodes o on o.node = r.node"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that it can express; the others are tested against brute force."""
-    return {"op2_url_filter": _op2_sql()}
+    return {"op2_url_filter": _op2_sql(), "op9_repeats": _op9_sql(), "op10_ngram_join": _op10_sql()}
