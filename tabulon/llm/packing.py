@@ -33,8 +33,8 @@ from .batches import map_texts
 from .store import written
 from .tokens import WordBpe, vocabulary
 
-#: Pieces of one length and salt, on average.
-PER_SALT = 2_000
+#: Pieces of one length and salt, on average, and salts that are summed up together.
+PER_SALT, SALTS = 250, 1_000
 #: Pieces of at most this share of the capacity only fill up what the configurations leave.
 SMALL = 1 / 32
 #: Share of the volume at which no further program is solved for what rounding left.
@@ -289,9 +289,12 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", capacity: int
     # ``number`` tells repeated rows apart, so they don't share a salt.
     salts = docs.sparkSession.createDataFrame([(k, max(1, v // PER_SALT)) for k, v in hist.items()], "length long, salts long")
     salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("number"), F.col("salts"))).drop("salts")
-    counts = salted.groupBy("length", "salt").count()
-    before = F.sum("count").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
-    first = counts.select("length", "salt", F.coalesce(before, F.lit(0)).alias("before"))
+    # Ranks before a salt: those of earlier thousands of salts, and of the earlier salts of its own.
+    counts = written(salted.groupBy("length", "salt").count().withColumn("many", F.floor(F.col("salt") / SALTS)), "salts")
+    earlier = lambda column, w: F.coalesce(F.sum(column).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    thousands = counts.groupBy("length", "many").agg(F.sum("count").alias("count")).select("length", "many", earlier("count", Window.partitionBy("length").orderBy("many")).alias("base"))
+    within = counts.select("length", "many", "salt", earlier("count", Window.partitionBy("length", "many").orderBy("salt")).alias("own"))
+    first = within.join(thousands, ["length", "many"]).select("length", "salt", (F.col("base") + F.col("own")).alias("before"))
     ranked = salted.withColumn("r", F.row_number().over(Window.partitionBy("length", "salt").orderBy("number")) - 1).join(first, ["length", "salt"]).withColumn("rank", F.col("r") + F.col("before")).drop("salt", "r", "before", "number")
     # The plan has a row for each length of each kind of sequence: bounded by capacity, not by the corpus.
     shared = docs.sparkSession.sparkContext.broadcast(runs)

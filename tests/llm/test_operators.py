@@ -387,8 +387,11 @@ def test_packing_plan():
     assert value == 30 and sum(np.array([1, 2, 3])[i] * n for i, n in config) <= 5
 
 
-def test_packing(spark):
-    rows = corpus()
+@pytest.mark.parametrize("salts", [(250, 1000), (3, 2)])
+def test_packing(spark, monkeypatch, salts):
+    monkeypatch.setattr(packing, "PER_SALT", salts[0])
+    monkeypatch.setattr(packing, "SALTS", salts[1])
+    rows = corpus() + [(2000 + i, "same length here") for i in range(30)] + [(3000, "one row often")] * 30
     df = frame(spark, rows)
     got = packing.pack(df, with_ids=True).collect()
     whole = tokens.WordBpe(tokens.vocabulary("word_bpe_49k.json")).whole
