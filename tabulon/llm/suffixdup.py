@@ -34,6 +34,8 @@ from .store import written
 GRAM = 4
 #: Suffixes that one task sorts, on average.
 PER_TASK = 150_000
+#: Tasks that rows of one window are dealt over.
+DEALS = 32
 
 
 def _words(raw: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -73,6 +75,13 @@ def _sorted_tasks(df: DataFrame, *order: str) -> DataFrame:
     return df.repartitionByRange(n, *order).sortWithinPartitions(*order)
 
 
+def _met(rows: DataFrame, few: DataFrame, key: str, *by: str) -> DataFrame:
+    """``rows`` joined with ``few``, which has a key once. A passage that very many documents share is one key of very many
+    rows; they are dealt over ``DEALS`` tasks, and each of the few is sent to all of those."""
+    dealt = rows.withColumn("deal", F.pmod(F.xxhash64(*by), F.lit(DEALS)))
+    return dealt.join(few.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALS - 1).cast("long")))), [key, "deal"]).drop("deal")
+
+
 def _one_text_a_key(rows: DataFrame) -> DataFrame:
     """``rows`` with the least text of each id; texts only move where ids repeat."""
     again = written(rows.groupBy("id").count().where("count > 1").select("id"), "repeated-keys")
@@ -186,7 +195,8 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", min_words:
     sides = of(False, "right").join(of(True, "left"), spot).where(F.col("left") + F.col("right") >= need)
     reached = (F.least("left_a", "right_a") <= F.col("pos") - F.least("left", F.lit(need))) & (F.greatest("left_b", "right_b") >= F.col("pos") + head + F.least("right", F.lit(need)))
     sides = written(sides.select(*spot, "left", "right", F.coalesce(~reached, F.lit(True)).alias("open")), "sides")
-    doubtful = found.join(sides.join(sides.where("open").select("k").distinct(), "k", "left_semi"), ["id", "pos", "k"])
+    opened = _met(sides, sides.where("open").select("k").distinct(), "k", "id", "pos")
+    doubtful = found.join(opened, ["id", "pos", "k"])
 
     def windows(batches):
         for batch in batches:
@@ -210,7 +220,7 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", min_words:
 
     looked = written(doubtful.select("id", "pos", "k", "left", "right", "open", "l", "r").mapInArrow(windows, "id long, a long, h long, open boolean"), "windows")
     shared = looked.groupBy("h").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y")
-    matched.append(looked.where("open").join(shared, "h").select("id", "a", (F.col("a") + min_words).alias("b"), F.when(F.col("x") == F.col("id"), F.col("y")).otherwise(F.col("x")).alias("partner")))
+    matched.append(_met(looked.where("open"), shared, "h", "id", "a").select("id", "a", (F.col("a") + min_words).alias("b"), F.when(F.col("x") == F.col("id"), F.col("y")).otherwise(F.col("x")).alias("partner")))
     matched = reduce(DataFrame.union, matched)
     # Overlapping matches of a document become one passage.
     spans = matched.groupBy("id", "a", "b").agg(F.min("partner").alias("partner"))
