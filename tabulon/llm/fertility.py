@@ -121,7 +121,7 @@ def fertility(docs: DataFrame, text: str = "text", key: str = "doc_id", lang: st
     """
     piece_path, word_path = piece_path or vocabulary("piece_bpe_32k.model"), word_path or vocabulary("word_bpe_49k.json")
     rows = docs.select(F.col(key).alias("id"), (F.col(lang) if lang else F.lit(None)).cast("string").alias("grp"), F.col(text).cast("string").alias("text"))
-    stats = map_texts(rows, "text", lambda: measures(piece_path, word_path), _STATS)
+    stats = map_texts(rows, "text", lambda: measures(piece_path, word_path), _STATS, 1 << 20)
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") > F.lit(max_repeat) * F.col("n_words"))
     stats = written(stats.withColumn("base_failed", failed), "fertility")
     # As many rows as languages and scripts times six: Spark broadcasts it if it is as small as that.

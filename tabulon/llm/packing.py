@@ -282,7 +282,7 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", capacity: int
     path = path or vocabulary("word_bpe_49k.json")
     schema = "id long, number long, piece int, start long, length long, ids_crc32 long, ids array<long>"
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    pieces = map_texts(rows, "text", lambda: _cut(path, capacity, end_id, with_ids), schema)
+    pieces = map_texts(rows, "text", lambda: _cut(path, capacity, end_id, with_ids), schema, 1 << 19)
     pieces = written(pieces if with_ids else pieces.drop("ids"), "pieces")
     hist = {r.length: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
     runs = _runs(plan(hist, capacity))
