@@ -155,7 +155,12 @@ class WordCache:
 
     def lookup(self, text: str, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of distinct words end to end, their first place for each word, their count for each word)."""
-        uniq, first, back = np.unique(h, return_index=True, return_inverse=True)
+        # As np.unique has it, but any place of a word serves, so the sort need not be stable.
+        order = np.argsort(h)
+        fresh = np.ones(len(h), bool)
+        fresh[1:] = h[order][1:] != h[order][:-1]
+        uniq, first, back = h[order[fresh]], order[fresh], np.empty(len(h), np.int64)
+        back[order] = np.cumsum(fresh) - 1
         if len(self.known) > self.limit:
             self.known.clear()
         known, keys = self.known, uniq.tolist()
